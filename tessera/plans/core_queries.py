@@ -1,0 +1,68 @@
+"""Queries of the core operators over the tables, with the SQL that gives the same rows where SQL can."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.operators.references import orphan_report, orphans, references
+from tessera.sources.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register the function under its name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _references(spark: SparkSession, folder: str) -> DataFrame:
+    qrels = references(table(spark, folder, "qrels"), "qrels", "corpus-id", "judged_at")
+    return qrels.union(references(table(spark, folder, "chunks"), "chunks", "article_id", "built_at"))
+
+
+_ORPHANS = """
+WITH refs AS (
+  SELECT 'qrels' AS ref_table, "corpus-id" AS k, judged_at AS t, line_no FROM qrels WHERE "corpus-id" IS NOT NULL
+  UNION ALL
+  SELECT 'chunks', article_id, built_at, line_no FROM chunks WHERE article_id IS NOT NULL
+), judged AS (
+  SELECT ref_table, t, line_no,
+    count(c._id) AS known,
+    count(*) FILTER (WHERE c.loaded_at <= t) AS loaded,
+    count(*) FILTER (WHERE c.loaded_at <= t AND (c.removed_at IS NULL OR c.removed_at > t)) AS holding
+  FROM refs LEFT JOIN corpus c ON c._id = refs.k GROUP BY ref_table, t, line_no
+), orphan AS (
+  SELECT ref_table, strftime(t, '%Y-%m') AS period, line_no,
+    CASE WHEN known = 0 THEN 'missing' WHEN loaded = 0 THEN 'late' ELSE 'deleted' END AS reason
+  FROM judged WHERE holding = 0
+)
+"""
+
+
+@query(_ORPHANS + "SELECT ref_table, period, line_no, reason FROM orphan")
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """References of qrels and chunks that no corpus row satisfies at their time."""
+    return orphans(_references(spark, folder), table(spark, folder, "corpus"))
+
+
+@query(
+    _ORPHANS
+    + """
+SELECT o.ref_table, o.period, o.reason, count(*) AS orphans, round(count(*) / any_value(n), 6) AS share
+FROM orphan o JOIN (SELECT ref_table, strftime(t, '%Y-%m') AS period, count(*) AS n FROM refs GROUP BY 1, 2) USING (ref_table, period)
+GROUP BY o.ref_table, o.period, o.reason"""
+)
+def p2_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Orphan references per table, month and reason."""
+    return orphan_report(_references(spark, folder), table(spark, folder, "corpus"))
