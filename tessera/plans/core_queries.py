@@ -37,11 +37,11 @@ WITH refs AS (
   UNION ALL
   SELECT 'chunks', article_id, built_at, line_no FROM chunks WHERE article_id IS NOT NULL
 ), judged AS (
-  SELECT ref_table, t, line_no,
+  SELECT refs.ref_table, refs.t, refs.line_no,
     count(c._id) AS known,
     count(*) FILTER (WHERE c.loaded_at <= t) AS loaded,
     count(*) FILTER (WHERE c.loaded_at <= t AND (c.removed_at IS NULL OR c.removed_at > t)) AS holding
-  FROM refs LEFT JOIN corpus c ON c._id = refs.k GROUP BY ref_table, t, line_no
+  FROM refs LEFT JOIN corpus c ON c._id = refs.k GROUP BY refs.ref_table, refs.t, refs.line_no
 ), orphan AS (
   SELECT ref_table, strftime(t, '%Y-%m') AS period, line_no,
     CASE WHEN known = 0 THEN 'missing' WHEN loaded = 0 THEN 'late' ELSE 'deleted' END AS reason
