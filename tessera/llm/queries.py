@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.answers import answer_rows, defects, train_languages
 from tessera.llm.canonical import canonicalize, non_canonical
 from tessera.llm.cross_split import overlap_report, split_overlaps
 from tessera.llm.near_duplicates import NearDuplicates, near_duplicates
+from tessera.llm.packing import fill_report, pack
+from tessera.llm.reading import reading_levels, train
 from tessera.llm.splitting import split_oversized
 from tessera.llm.tokens import encode
 from tessera.sources.tables import table
@@ -76,6 +79,16 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(_items(spark, folder), ["src", "line_no"], F.col("text"))
 
 
+# 4. Broken prompt and response pairs
+
+
+@query()
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers that are no usable reply, with their defect."""
+    answers = answer_rows(table(spark, folder, "generations"), table(spark, folder, "sft_raw"))
+    return defects(answers, train_languages(table(spark, folder, "documents")))
+
+
 # 5. Visually identical text with different characters
 
 
@@ -120,3 +133,38 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """byte_bpe_50k ids of every document."""
     return encode(table(spark, folder, "documents"), "doc_id")
+
+
+# 8. Filling fixed-capacity containers with items
+
+
+@query()
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every document, or of every part of one that exceeds a container."""
+    return pack(table(spark, folder, "documents"), "doc_id")
+
+
+@query()
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers are."""
+    return fill_report(pack(table(spark, folder, "documents"), "doc_id"))
+
+
+# 9. Reading level of each document
+
+
+def _levels(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return reading_levels(documents, train(documents, table(spark, folder, "reading_labels")))
+
+
+@query()
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Vietnamese documents of level 4 or 5."""
+    return _levels(spark, folder).where("level >= 4").select("doc_id")
+
+
+@query()
+def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """The estimate and the grades of every Vietnamese document."""
+    return _levels(spark, folder)
