@@ -24,6 +24,7 @@ from tessera.llm.canonical import canonical_text
 
 WORD = re.compile(r"[^\W_]+")
 MAP_WORDS = 4  # of 64 bits
+MAPS = [f"m{k}" for k in range(MAP_WORDS)]
 
 
 def word_sets(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -78,14 +79,14 @@ def _postings(vectors: DataFrame, most: DataFrame, threshold: float) -> DataFram
     order = W.partitionBy("set_id").orderBy("df", "term")
     after = order.rowsBetween(1, W.unboundedFollowing)
     entries = (
-        vectors.select("set_id", "n", *_bit_map(F.col("terms")), F.inline("terms"))
+        vectors.select("set_id", "n", *MAPS, F.inline("terms"))
         .join(most, "term")
         .withColumn("rest", F.sqrt(F.coalesce(F.sum(F.col("w") * F.col("w")).over(after), F.lit(0.0))))
         .withColumn("here", F.sqrt(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(0, W.unboundedFollowing))))
         .withColumn("bound", F.sum(F.col("w") * F.col("most")).over(order.rowsBetween(0, W.unboundedFollowing)))
     )
     return entries.where(F.least("here", "bound") >= threshold - 1e-9).select(
-        "term", "set_id", "n", "w", "rest", *(f"m{k}" for k in range(MAP_WORDS))
+        "term", "set_id", "n", "w", "rest", *MAPS
     )
 
 
@@ -95,12 +96,14 @@ def cosine_join(sets: DataFrame, threshold: float, weighting: str = "set") -> Da
     ``sets``: (set_id, side, words), words distinct and not empty; (set_id, side) is unique. Exact: the bounds only
     drop pairs that cannot reach the threshold. No cap on lists; long lists are split by AQE's skew join.
     """
-    vectors = cut(_vectors(sets, weighting))
+    # The maps are made before the vectors are taken apart, once a set.
+    vectors = _vectors(sets, weighting)
+    vectors = cut(vectors.select("*", *_bit_map(F.col("terms"))))
     left, right = vectors.where("side = 'l'"), vectors.where("side = 'r'")
     most = vectors.select("side", F.inline("terms")).groupBy("side", "term").agg(F.max("w").alias("most"))
     l, r = (
         _postings(own, most.where(f"side = '{other}'").select("term", "most"), threshold).select(
-            "term", *(F.col(c).alias(f"{own_side}_{c}") for c in ["set_id", "n", "w", "rest", *(f"m{k}" for k in range(MAP_WORDS))])
+            "term", *(F.col(c).alias(f"{own_side}_{c}") for c in ("set_id", "n", "w", "rest", *MAPS))
         )
         for own, own_side, other in ((left, "l", "r"), (right, "r", "l"))
     )
