@@ -127,17 +127,20 @@ class NearDuplicates:
     """
 
     def __init__(self, sets: DataFrame, members: DataFrame, threshold: float, slack: float):
-        self.members, self._sets, self._threshold, self._slack = members, sets, threshold, slack
-        cells = sets.select("rep", F.posexplode("buckets").alias("band", "bucket"))
-        first = cells.groupBy("band", "bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
-        crowded = cells.join(first.drop("n"), ["band", "bucket"])
+        self.members, self._threshold, self._slack = members, threshold, slack
+        # A bucket's key is of one band: the bands' keys are multiplied by numbers of their own.
+        cells = sets.select("rep", F.explode("buckets").alias("bucket"))
+        first = cells.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
+        crowded = cut(cells.join(first.drop("n"), "bucket"))
+        # Only texts that share a bucket are looked at again.
+        self._near = cut(sets.select("rep", "signature", "shingles").join(crowded.select("rep").distinct(), "rep", "left_semi"))
         heads = cut(crowded.where("rep <> head").select("head", "rep").distinct())
         linked = cut(self._verified(heads.toDF("a", "b")))
         # A text that is unlike the head of its bucket meets all of the bucket.
         apart = heads.join(linked.toDF("head", "rep", "similarity"), ["head", "rep"], "left_anti")
-        stray = crowded.join(apart, ["head", "rep"]).select("band", "bucket", F.col("rep").alias("stray"))
+        stray = crowded.join(apart, ["head", "rep"]).select("bucket", F.col("rep").alias("stray"))
         rest = (
-            stray.join(crowded.where("rep <> head"), ["band", "bucket"])
+            stray.join(crowded.where("rep <> head"), "bucket")
             .where("stray <> rep")
             .select(F.least("stray", "rep").alias("a"), F.greatest("stray", "rep").alias("b"))
             .distinct()
@@ -147,7 +150,7 @@ class NearDuplicates:
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b, similarity) of the pairs that pass by signature and then by their shingles."""
-        signs, shingles = self._sets.select("rep", "signature"), self._sets.select("rep", "shingles")
+        signs, shingles = self._near.select("rep", "signature"), self._near.select("rep", "shingles")
         alike = (
             pairs.join(signs.toDF("a", "sign_a"), "a")
             .join(signs.toDF("b", "sign_b"), "b")
@@ -169,7 +172,7 @@ class NearDuplicates:
     @property
     def pairs(self) -> DataFrame:
         """Every pair inside a class is checked; copies of a text are pairs too."""
-        classed = self._components.toDF("rep", "class_id").join(self._sets.select("rep", "signature", "shingles"), "rep")
+        classed = self._components.toDF("rep", "class_id").join(self._near, "rep")
         a, b = (classed.toDF(f"rep_{x}", "class_id", f"sign_{x}", f"set_{x}") for x in "ab")
         near = (
             a.join(b, "class_id")
@@ -200,10 +203,10 @@ def near_duplicates(
     whose estimate falls short by chance; the check on the shingles themselves follows.
     """
     rows_in = sketch(df, key, text, width, bands, rows, seed)
-    # A set's name: two independent 64-bit hashes of it.
-    named = rows_in.withColumn("set_id", F.concat_ws("-", F.xxhash64("shingles"), F.hash("signature"), F.size("shingles")))
-    one = cut(named.groupBy("key").agg(F.min_by(F.struct("set_id", "shingles", "signature", "buckets"), "set_id").alias("s")).select("key", "s.*"))
+    # A set's name: two independent hashes of it.
+    named = cut(rows_in.withColumn("set_id", F.concat_ws("-", F.xxhash64("shingles"), F.hash("signature"), F.size("shingles"))))
+    one = named.groupBy("key").agg(F.min("set_id").alias("set_id"))
     heads = one.groupBy("set_id").agg(F.min("key").alias("rep"))
-    members = cut(one.select("key", "set_id").join(heads, "set_id").select("key", "rep"))
-    sets = one.join(members.where("key = rep").select("key"), "key", "left_semi").drop("set_id").withColumnRenamed("key", "rep")
+    members = cut(one.join(heads, "set_id").select("key", "rep"))
+    sets = named.drop("key").dropDuplicates(["set_id"]).join(heads, "set_id").drop("set_id")
     return NearDuplicates(cut(sets), members, threshold, slack=4 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5)
