@@ -77,14 +77,17 @@ def subsample(articles: DataFrame, keep: DataFrame, size: int, seed: int = 0) ->
 
 
 def train_val(rows: DataFrame, key: str, ratio: float, seed: int = 0) -> DataFrame:
-    """``rows`` with ``part``: exactly max(1, floor(n * ratio)) of them ``val``, by the order of a hash.
+    """``rows`` with ``part`` (in place of a column of that name): exactly max(1, floor(n * ratio)) of them ``val``, by the order of a hash.
 
     The cut is a percentile-free count: ranks are taken within hash prefixes whose sizes are summed first.
     """
-    keyed = rows.withColumn("at", order_key(seed, key)).withColumn("prefix", F.substring("at", 1, 3))
-    sizes = keyed.groupBy("prefix").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("prefix").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("prefix", before.alias("before"), F.sum("n").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"))
-    placed = keyed.join(F.broadcast(offsets), "prefix").withColumn("n", F.col("before") + F.row_number().over(W.partitionBy("prefix").orderBy("at", key)))
-    val = F.col("n") <= F.greatest(F.lit(1), F.floor(F.col("total") * ratio))
-    return placed.withColumn("part", F.when(val, "val").otherwise("train")).drop("at", "prefix", "before", "total", "n")
+    keyed = rows.select(F.struct(*rows.columns).alias("row"), order_key(seed, key).alias("at")).withColumn("prefix", F.substring("at", 1, 3))
+    # At most 4,096 prefixes.
+    sizes = keyed.groupBy("prefix").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(W.orderBy("prefix").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    whole = F.sum("size").over(W.orderBy("prefix").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    offsets = sizes.select("prefix", before.alias("before"), whole.alias("total"))
+    within = F.row_number().over(W.partitionBy("prefix").orderBy("at", F.col("row")[key]))
+    placed = keyed.join(F.broadcast(offsets), "prefix").withColumn("place", F.col("before") + within)
+    val = F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("total") * ratio))
+    return placed.select(*(F.col("row")[c].alias(c) for c in rows.columns if c != "part"), F.when(val, "val").otherwise("train").alias("part"))
