@@ -2,8 +2,8 @@
 
 Documents that share words are brought together by a range of min-hash keys and cut into shards of a bounded number of
 documents. Each shard has a BM25 inverted index. The largest unused document is the seed of a container; the index
-returns its unused neighbours, best first, which fill the window as long as they fit. The last of the room goes
-to the document that fits it best.
+scores its unused neighbours, and the best that fits goes in, again and again. What goes last is the best neighbour
+among those that leave at most one hundredth of a container more room than the best fit.
 """
 
 from __future__ import annotations
@@ -23,35 +23,37 @@ from tessera.llm.tokens import default_ranks, encoder
 WORDS = re.compile(r"[^\W\d_]+")
 CAPACITY, SHARD_DOCS = 4096, 2000
 K1, B = 1.5, 0.75
+QUERY_TERMS = 48  # of a seed, the rarest
+CLOSE = 0.01  # of the capacity: how much more room the last document may leave than the best fit
 
 
 class ShardIndex:
     """A BM25 inverted index over the documents of one shard."""
 
-    def __init__(self, terms: list[np.ndarray], times: list[np.ndarray]):
-        self.n = len(terms)
-        sizes = np.fromiter(map(len, terms), np.int64, self.n)
-        flat = np.concatenate(terms) if self.n else np.empty(0, np.int32)
-        tf = np.concatenate(times).astype(np.float64) if self.n else np.empty(0)
+    def __init__(self, terms: np.ndarray, times: np.ndarray, sizes: np.ndarray):
+        """Words and their counts of all documents in a row; ``sizes`` says how many words are each document's."""
+        self.n = len(sizes)
         doc = np.repeat(np.arange(self.n), sizes)
-        _, term, df = np.unique(flat, return_inverse=True, return_counts=True)
-        length = np.bincount(doc, tf, self.n) if len(doc) else np.zeros(self.n)
+        _, term, df = np.unique(terms, return_inverse=True, return_counts=True)
+        length = np.bincount(doc, times, self.n)
         norm = K1 * (1 - B + B * length / max(length.mean() if self.n else 1.0, 1e-9))
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc]) if len(doc) else tf
         order = np.argsort(term, kind="stable")
-        self.docs, self.weights = doc[order], weight[order]
+        self.docs = doc[order]
+        self.weights = (idf[term] * times * (K1 + 1) / (times + norm[doc]))[order]
         self.starts = np.concatenate([[0], np.cumsum(df)]).astype(np.int64)
-        self.terms_of = np.split(term, np.cumsum(sizes)[:-1]) if self.n else []
+        rare = np.lexsort((df[term], doc))
+        self.terms, self.ends = term[rare], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document for the words of one document."""
-        terms = self.terms_of[seed]
+        """BM25 of every document for the rarest words of one document."""
+        first, end = self.ends[seed], self.ends[seed + 1]
+        terms = self.terms[first : min(end, first + QUERY_TERMS)]
         if not len(terms):
             return np.zeros(self.n)
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in terms]
-        docs = np.concatenate([self.docs[s] for s in spans])
-        return np.bincount(docs, np.concatenate([self.weights[s] for s in spans]), self.n)
+        starts, sizes = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
+        at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        return np.bincount(self.docs[at], self.weights[at], self.n)
 
 
 def fill(sizes: np.ndarray, index: ShardIndex, capacity: int) -> list[list[int]]:
@@ -73,9 +75,9 @@ def fill(sizes: np.ndarray, index: ShardIndex, capacity: int) -> list[list[int]]
                 score = index.scores(seed)
             if room > 2 * typical:
                 best = fits[np.argmax(score[fits])]
-            else:  # the largest that fits; of equal ones the best neighbour
-                largest = fits[sizes[fits] == sizes[fits].max()]
-                best = largest[np.argmax(score[largest])]
+            else:  # the best neighbour of those that fit about as well as the largest
+                close = fits[sizes[fits] >= sizes[fits].max() - CLOSE * capacity]
+                best = close[np.argmax(score[close])]
             unused[best] = False
             held.append(int(best))
             room -= int(sizes[best])
@@ -83,27 +85,32 @@ def fill(sizes: np.ndarray, index: ShardIndex, capacity: int) -> list[list[int]]
     return containers
 
 
-def _words(df: DataFrame, key: str, text: str, ranks: str, capacity: int) -> DataFrame:
-    """One row a document: its size in tokens, its distinct words as hashes with their counts, and its min-hash key."""
+class _Codes(dict):
+    """A 32-bit hash for each word, kept while a batch is read."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __missing__(self, word: str) -> int:
         import xxhash
 
+        code = self[word] = xxhash.xxh32_intdigest(word) - 2**31
+        return code
+
+
+def _words(df: DataFrame, key: str, text: str, ranks: str) -> DataFrame:
+    """One row a document: its size in tokens, its distinct words as hashes with their counts, and its min-hash key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks)
-        codes: dict[str, int] = {}
+        codes = _Codes()
         for batch in batches:
+            if len(codes) > 500_000:
+                codes.clear()
             size, terms, times, keys = [], [], [], []
             for t in batch.column(1).to_pylist():
-                size.append(len(enc.encode_to_numpy(t)) if t else 0)
-                found = Counter(WORDS.findall(t.lower())) if t else Counter()
-                for w in found:
-                    if w not in codes:
-                        if len(codes) > 500_000:
-                            codes.clear()
-                        codes[w] = xxhash.xxh32_intdigest(w) - 2**31
-                own = [codes.get(w) if w in codes else xxhash.xxh32_intdigest(w) - 2**31 for w in found]
+                size.append(len(enc.encode_ordinary(t)) if t else 0)
+                found = Counter(WORDS.findall(t.lower())) if t else {}
+                own = [*map(codes.__getitem__, found)]
                 terms.append(own)
-                times.append(list(found.values()))
+                times.append([*found.values()])
                 keys.append(min(own, default=0))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int32()), pa.array(terms, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32())), pa.array(keys, pa.int32())],
@@ -128,7 +135,7 @@ def pack(
     """
     if capacity < 1 or shard_docs < 1:
         raise ValueError("capacity and shard_docs must be at least 1")
-    sized = cut(_words(df, key, text, ranks or default_ranks(), capacity))
+    sized = cut(_words(df, key, text, ranks or default_ranks()))
     kind = sized.schema["doc_id"].dataType.simpleString()
     columns = f"container string, slot int, doc_id {kind}, piece_no int, token_start int, n_tokens int"
     none = sized.where("size = 0").selectExpr(
@@ -158,9 +165,10 @@ def _packed(table: pa.Table, shard: str, capacity: int) -> pa.RecordBatch:
     docs = table.column("doc_id")
     size = table.column("size").to_numpy().astype(np.int64)
     full, rest = size // capacity, size % capacity
-    terms, times = ([np.array(x, np.int64) for x in table.column(c).to_pylist()] for c in ("terms", "times"))
     items = np.flatnonzero(rest > 0)
-    index = ShardIndex([terms[i] for i in items], [times[i] for i in items])
+    held_words = table.take(pa.array(items)) if len(items) < len(size) else table
+    terms, times = (held_words.column(c).combine_chunks() for c in ("terms", "times"))
+    index = ShardIndex(terms.flatten().to_numpy(), times.flatten().to_numpy().astype(np.float64), terms.value_lengths().to_numpy())
     rows = []
     number = 0
     for i in np.flatnonzero(full):
