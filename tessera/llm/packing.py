@@ -32,7 +32,7 @@ class ShardIndex:
 
     def __init__(self, terms: np.ndarray, times: np.ndarray, sizes: np.ndarray):
         """Words and their counts of all documents in a row; ``sizes`` says how many words are each document's."""
-        self.n = len(sizes)
+        self.n, sizes = len(sizes), np.asarray(sizes, np.int64)
         doc = np.repeat(np.arange(self.n), sizes)
         _, term, df = np.unique(terms, return_inverse=True, return_counts=True)
         length = np.bincount(doc, times, self.n)
