@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE_CHARS = 4096
+PIECE_CHARS = 8192
 
 
 def default_ranks() -> str:
