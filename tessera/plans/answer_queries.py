@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import answers as A
-from tessera.operators import bm25
+from tessera.operators import bm25, sharded_search
 from tessera.operators.contexts import context_docs, prompt_records, sampled_docs, share, subsample, train_val
 from tessera.operators.ranking import overlap
 from tessera.plans.registry import Registry
@@ -197,7 +197,7 @@ def before_after_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pool(spark: SparkSession, folder: str) -> DataFrame:
-    return bm25.search_texts(_docs(spark, folder), _asked(spark, folder), 10)
+    return sharded_search.search_texts(_docs(spark, folder), _asked(spark, folder), 10)
 
 
 @R.add(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.lineage import checkpoint_folder
-from tessera.operators import bm25
+from tessera.operators import bm25, sharded_search
 from tessera.operators.generate import answered, first_sentence, generate
 from tessera.plans.answer_queries import _ANSWERS, _saved
 from tessera.plans.registry import Registry
@@ -74,4 +74,4 @@ def stub_answers(spark: SparkSession, folder: str) -> DataFrame:
 def pipeline_answer(spark: SparkSession, folder: str) -> DataFrame:
     """From question to cited answer: search, re-ranking, gate, prompt, stand-in model, citations."""
     docs, asked = _docs(spark, folder), _asked(spark, folder)
-    return answered(bm25.search_texts(docs, asked, 30), asked, docs, _articles(spark, folder), first_sentence, threshold=0.5)
+    return answered(sharded_search.search_texts(docs, asked, 30), asked, docs, _articles(spark, folder), first_sentence, threshold=0.5)

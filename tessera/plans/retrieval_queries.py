@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import citation, law_id, normalize
-from tessera.operators import bm25
+from tessera.operators import bm25, sharded_search
 from tessera.operators.chunking import chunk_articles
 from tessera.operators.dense import dense_search
 from tessera.operators.ranking import fuse, mean_metrics, overlap, per_query_metrics, rerank
@@ -210,7 +210,7 @@ def _hits(run: DataFrame) -> DataFrame:
 @R.add(_BM25 + " SELECT query, doc, rank, CAST(score AS double) AS score FROM u_ranked WHERE rank <= 10")
 def bm25_top10(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best articles of each question of the query set."""
-    return _hits(bm25.search_texts(_docs(spark, folder), _asked(spark, folder), 10))
+    return _hits(sharded_search.search_texts(_docs(spark, folder), _asked(spark, folder), 10))
 
 
 _BM25_TWO = f"WITH {ARTICLES}, {QUESTIONS}, {ASKED}, {ARTICLE_DOCS}, {bm25_sql('b', True)}"
@@ -219,7 +219,7 @@ _BM25_TWO = f"WITH {ARTICLES}, {QUESTIONS}, {ASKED}, {ARTICLE_DOCS}, {bm25_sql('
 @R.add(_BM25_TWO + " SELECT query, doc, rank, CAST(score AS double) AS score FROM b_ranked WHERE rank <= 10")
 def bm25_bigram_top10(spark: SparkSession, folder: str) -> DataFrame:
     """The same with neighbouring pairs as terms too."""
-    return _hits(bm25.search_texts(_docs(spark, folder), _asked(spark, folder), 10, bigrams=True))
+    return _hits(sharded_search.search_texts(_docs(spark, folder), _asked(spark, folder), 10, bigrams=True))
 
 
 @R.add(
@@ -233,7 +233,7 @@ SELECT query, article_id AS doc, rank, CAST(score AS double) AS score, doc AS ch
 def bm25_chunk_pooled(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best articles by their best stored chunk, out of the forty best chunks."""
     chunks = _chunks(spark, folder)
-    hits = bm25.search_texts(chunks.select("doc", "text"), _asked(spark, folder), 10 * bm25.FANOUT)
+    hits = sharded_search.search_texts(chunks.select("doc", "text"), _asked(spark, folder), 10 * bm25.FANOUT)
     known = chunks.select(F.col("doc").alias("chunk_id"), "article_id").where("article_id is not null")
     return bm25.pooled(hits, known, 10).select("query", "doc", "rank", F.col("score").cast("double").alias("score"), "chunk")
 
@@ -278,7 +278,7 @@ ranked AS (SELECT query, doc, score, CAST(seen // 1000000 AS integer) AS run, ro
 
 def _hybrid(spark: SparkSession, folder: str, k: int, depth: int = 100) -> DataFrame:
     docs, asked = _docs(spark, folder), _asked(spark, folder)
-    runs = [bm25.search_texts(docs, asked, max(k, depth), bigrams=b) for b in (False, True)]
+    runs = [sharded_search.search_texts(docs, asked, max(k, depth), bigrams=b) for b in (False, True)]
     return fuse(runs, k)
 
 
@@ -303,7 +303,7 @@ SELECT query, doc, rank, score FROM again WHERE rank <= 10"""
 def rerank_overlap(spark: SparkSession, folder: str) -> DataFrame:
     """Thirty candidates a question, ordered anew by a lexical scorer in place of a cross-encoder."""
     docs, asked = _docs(spark, folder), _asked(spark, folder)
-    return rerank(bm25.search_texts(docs, asked, 30), asked, docs, 10).select("query", "doc", "rank", "score")
+    return rerank(sharded_search.search_texts(docs, asked, 30), asked, docs, 10).select("query", "doc", "rank", "score")
 
 
 _METRICS = (
@@ -333,7 +333,7 @@ def _measured(spark: SparkSession, folder: str, run: DataFrame) -> DataFrame:
 @R.add(_METRICS + " SELECT * FROM per_query")
 def metrics_per_query(spark: SparkSession, folder: str) -> DataFrame:
     """Recall, reciprocal rank and nDCG of each judged question of the query set."""
-    return _measured(spark, folder, bm25.search_texts(_docs(spark, folder), _asked(spark, folder), 10))
+    return _measured(spark, folder, sharded_search.search_texts(_docs(spark, folder), _asked(spark, folder), 10))
 
 
 @R.add(
