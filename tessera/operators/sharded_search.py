@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.functions.lineage import cut
 from tessera.operators.bm25 import K1, B, query_terms, tokenized, top
 
-SHARD_DOCS = 2000
+SHARD_DOCS, LEAST_DOCS = 8000, 1000
 SCALE = 10**9  # scores are sums of whole billionths, exact in any order
 RESULT = "query string, doc string, score decimal(20,9)"
 
@@ -33,8 +33,7 @@ class Shard:
         doc = np.repeat(np.arange(len(docs)), n)
         pair, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * max(len(docs), 1) + doc, return_counts=True)
         term, self.doc = np.divmod(pair, max(len(docs), 1))
-        self.tf = tf.astype(float)
-        self.norm = self.tf + K1 * (1 - B + B * n[self.doc] / avg_len)
+        self.part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[self.doc] / avg_len)) * SCALE
         self.starts = np.searchsorted(term, np.arange(len(self.ids) + 1))
 
     def best(self, terms: list[str], idf: list[float], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,9 +41,11 @@ class Shard:
         known = [(self.ids[t], w) for t, w in zip(terms, idf) if t in self.ids]
         if not known:
             return np.empty(0, np.int64), np.empty(0)
-        at = np.concatenate([np.arange(self.starts[t], self.starts[t + 1]) for t, _ in known])
-        weight = np.repeat([w for _, w in known], [self.starts[t + 1] - self.starts[t] for t, _ in known])
-        parts = np.rint(weight * self.tf[at] * (K1 + 1) / self.norm[at] * SCALE)
+        ids = np.fromiter((t for t, _ in known), np.int64, len(known))
+        sizes = self.starts[ids + 1] - self.starts[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1])
+        parts = np.rint(np.repeat(np.fromiter((w for _, w in known), float, len(known)), sizes) * self.part[at])
         score = np.bincount(self.doc[at], parts, len(self.docs))
         found = np.flatnonzero(score > 0)
         if len(found) > k:
@@ -63,7 +64,8 @@ def search_texts(docs: DataFrame, queries: DataFrame, k: int, *, bigrams: bool =
     tokens = cut(tokenized(docs.select(F.col("doc").cast("string").alias("doc"), "text"), "doc", "text", bigrams).where("doc is not null"))
     stats = tokens.agg(
         F.count("*").alias("n_docs"), F.greatest(F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)), F.lit(1e-9)).alias("avg_len"),
-        F.greatest(F.ceil(F.count("*") / F.lit(shard_docs)), F.lit(1)).cast("int").alias("shards"),
+        # A few shards even for few documents, so that they keep several tasks busy.
+        F.greatest(F.ceil(F.count("*") / F.least(F.lit(shard_docs), F.greatest(F.lit(LEAST_DOCS), F.count("*") / 8))), F.lit(1)).cast("int").alias("shards"),
     )
     asked = query_terms(queries.select(F.col("query").cast("string").alias("query"), "text"), "query", "text", bigrams).where("query is not null")
     df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
