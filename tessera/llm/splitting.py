@@ -1,7 +1,8 @@
 """Splitting oversized items at natural boundaries (problem 3): balanced targets.
 
 The least number of pieces gives equal-length targets. Each target is moved to the strongest boundary near it, or,
-where there is none near, to the nearest one anywhere the limits allow. If a limit fails, there is one piece more.
+where there is none near, to the nearest one anywhere the limits allow. If a limit fails, there are more pieces; a text
+that no balance suits, such as one with few boundaries, gets pieces as long as may be.
 """
 
 from __future__ import annotations
@@ -49,43 +50,75 @@ def cuts(text: str, limit: int, overlap: int, slack: float = 0.15) -> list[tuple
     if size <= limit:
         return [(0, 0, size, NONE)]
     at, strength = boundaries(text)
-    pieces = ceil((size - overlap) / step)
-    while True:
-        done, start, cut = [], 0, 0
-        for i in range(pieces - 1):
-            left = pieces - 1 - i
-            high = min(start + limit, size - left)  # as far as this piece may reach
-            low = max(cut + 1, size - left * step)  # what the others can still take
-            target = cut + round((size - cut) / (left + 1)) + (round(overlap / (left + 1)) if not i else 0)
-            target = min(max(target, low), high)
-            if low > high:
-                break
-            near = slack * step
-            a, b = bisect_left(at, max(low, target - near)), bisect_right(at, min(high, target + near))
-            if a == b:
-                a, b = bisect_left(at, low), bisect_right(at, high)
-                best = min(range(a, b), key=lambda k: (abs(at[k] - target), at[k]), default=None)
-            else:
-                best = min(range(a, b), key=lambda k: (-strength[k], abs(at[k] - target), at[k]))
-            if best is None and bisect_right(at, cut) < bisect_right(at, high):
-                break  # there is a boundary, which more pieces will let this one end at
-            if best is None:
-                stop, kind = target, NONE
-                while stop > low and _joined(text, stop):
-                    stop -= 1
-            else:
-                stop, kind = at[best], strength[best]
-            done.append((start, cut, stop, kind))
-            first = max(stop - overlap, cut)
-            a, b = bisect_left(at, first), bisect_left(at, stop)
-            sentence = next((at[k] for k in range(a, b) if strength[k] >= SENTENCE), None)
-            start = sentence if sentence is not None else at[a] if a < b else stop if kind and first == stop else first
-            while start < stop and _joined(text, start):
-                start += 1
-            cut = stop
-        if len(done) == pieces - 1 and size - start <= limit:
-            return [*done, (start, cut, size, NONE)]
-        pieces += 1 + pieces // 50
+    least = pieces = ceil((size - overlap) / step)
+    while pieces <= 2 * least + 8:
+        if (done := _balanced(text, at, strength, pieces, limit, overlap, slack)) is not None:
+            return done
+        pieces += 1 + pieces // 20
+    return _greedy(text, at, strength, limit, overlap, slack)
+
+
+def _hard(text: str, low: int, place: int) -> int:
+    """A cut without a boundary: at ``place``, or before the letter that marks there belong to."""
+    stop = place
+    while stop > low and _joined(text, stop):
+        stop -= 1
+    return stop if stop > low else place
+
+
+def _repeat_from(text: str, at: list[int], strength: list[int], cut: int, stop: int, overlap: int) -> int:
+    """Where the next piece starts: at the first sentence or else word within the overlap before ``stop``."""
+    first = max(stop - overlap, cut)
+    a, b = bisect_left(at, first), bisect_left(at, stop)
+    sentence = next((at[k] for k in range(a, b) if strength[k] >= SENTENCE), None)
+    start = sentence if sentence is not None else at[a] if a < b else first
+    while start < stop and _joined(text, start):
+        start += 1
+    return start
+
+
+def _balanced(text: str, at: list[int], strength: list[int], pieces: int, limit: int, overlap: int, slack: float) -> list | None:
+    """The cuts into ``pieces`` pieces, or None if a limit fails or a boundary in reach would be passed over."""
+    size, step = len(text), limit - overlap
+    done, start, cut = [], 0, 0
+    for i in range(pieces - 1):
+        left = pieces - 1 - i
+        high = min(start + limit, size - left)  # as far as this piece may reach
+        low = max(cut + 1, size - left * step)  # what the others can still take
+        if low > high:
+            return None
+        target = cut + round((size - cut) / (left + 1)) + (round(overlap / (left + 1)) if not i else 0)
+        target = min(max(target, low), high)
+        near = slack * step
+        a, b = bisect_left(at, max(low, target - near)), bisect_right(at, min(high, target + near))
+        if a < b:
+            best = min(range(a, b), key=lambda k: (-strength[k], abs(at[k] - target), at[k]))
+        else:
+            a, b = bisect_left(at, low), bisect_right(at, high)
+            best = min(range(a, b), key=lambda k: (abs(at[k] - target), at[k]), default=None)
+        if best is None and bisect_right(at, cut) < bisect_right(at, min(start + limit, size - 1)):
+            return None
+        stop, kind = (at[best], strength[best]) if best is not None else (_hard(text, low, target), NONE)
+        done.append((start, cut, stop, kind))
+        start, cut = _repeat_from(text, at, strength, cut, stop, overlap), stop
+    return [*done, (start, cut, size, NONE)] if size - start <= limit else None
+
+
+def _greedy(text: str, at: list[int], strength: list[int], limit: int, overlap: int, slack: float) -> list:
+    """Each piece as long as may be, up to the strongest boundary near its limit: for texts that no balance suits."""
+    size, done, start, cut = len(text), [], 0, 0
+    while size - start > limit:
+        high = start + limit
+        a, b = bisect_right(at, cut), bisect_right(at, high)
+        if a < b:
+            close = range(max(a, bisect_left(at, high - slack * (limit - overlap))), b)
+            best = max(close, key=lambda k: (strength[k], at[k]), default=b - 1)
+            stop, kind = at[best], strength[best]
+        else:
+            stop, kind = _hard(text, cut + 1, high), NONE
+        done.append((start, cut, stop, kind))
+        start, cut = _repeat_from(text, at, strength, cut, stop, overlap), stop
+    return [*done, (start, cut, size, NONE)]
 
 
 def split_oversized(df: DataFrame, keys: list[str], text: Column, limit: int = 1200, overlap: int = 200) -> DataFrame:
