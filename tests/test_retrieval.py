@@ -123,3 +123,20 @@ def test_chunks_of_articles(spark):
     assert sum(len(t) - 2 for t in by["h+1"]) >= 5000
     with pytest.raises(ValueError):
         chunk_articles(spark.createDataFrame(rows, "article_id string, title string, text string"), 100, 100)
+
+
+@pytest.mark.parametrize("bigrams", [False, True])
+def test_sharded_search_equals_the_join(spark, bigrams):
+    import random
+
+    from tessera.operators import sharded_search
+
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"từ{rng.randrange(30)}" for _ in range(n))
+    docs = [(f"d{i}", text(rng.randrange(12))) for i in range(200)] + [("same1", "từ1 từ2"), ("same2", "từ1 từ2"), (None, "từ1"), ("null", None)]
+    asked = [(f"q{i}", text(rng.randrange(6))) for i in range(30)] + [("none", "lạ"), ("q0", None), (None, "từ1")]
+    d, q = spark.createDataFrame(docs, "doc string, text string").where("doc is not null"), spark.createDataFrame(asked, "query string, text string")
+    want = sorted(tuple(r) for r in bm25.search_texts(d, q.where("query is not null"), 7, bigrams=bigrams).select("query", "doc", "score", "rank").collect())
+    got = sorted(tuple(r) for r in sharded_search.search_texts(spark.createDataFrame(docs, "doc string, text string"), q, 7, bigrams=bigrams, shard_docs=13).select("query", "doc", "score", "rank").collect())
+    assert got == want and len(got) > 100
+    assert sharded_search.search_texts(d.limit(0), q, 3).count() == 0 and sharded_search.search_texts(d, q.limit(0), 3).count() == 0
