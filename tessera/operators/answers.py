@@ -45,7 +45,8 @@ def summary(rows: DataFrame, by: list[str], faithful: str | None = None) -> Data
 def gate_sweep(rows: DataFrame) -> DataFrame:
     """(threshold, keep_answerable, block_negative, balanced_accuracy) at 0, every score and infinity.
 
-    ``rows``: (score, answerable). Counts per distinct score come first, so the running sums see each score once.
+    ``rows``: (score, answerable), scores rounded to a few places. Counts per distinct score come first, in parallel; the
+    running sums then see each distinct score once, in one task: ten thousand of them at four places.
     """
     marks = rows.sparkSession.createDataFrame([(0.0,), (float("inf"),)], "threshold double")
     counts = rows.groupBy(F.col("score").alias("threshold")).agg(

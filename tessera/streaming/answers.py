@@ -23,8 +23,8 @@ def score_files(spark: SparkSession, source: str, target: str, progress: str) ->
     return spark.read.parquet(target)
 
 
-def monthly_judgements(judged: DataFrame, late: str = "30 days") -> DataFrame:
-    """(month start, split, judged) over a stream of (judged_at, split) with a watermark for late rows."""
+def windowed_judgements(judged: DataFrame, late: str = "30 days") -> DataFrame:
+    """(start, split, judged) in windows of 28 days over a stream of (judged_at, split), with a watermark for late rows."""
     return (
         judged.withColumn("at", F.col("judged_at").cast("timestamp")).withWatermark("at", late)
         .groupBy(F.window("at", "28 days").alias("w"), "split").agg(F.count("*").alias("judged"))

@@ -3,7 +3,7 @@ import pytest
 from tessera.operators import bm25
 from tessera.sources import records as R
 from tessera.sources import stores as S
-from tessera.streaming.answers import monthly_judgements, score_files
+from tessera.streaming.answers import windowed_judgements, score_files
 
 
 def test_json_lines(spark, tmp_path):
@@ -66,7 +66,7 @@ def test_monthly_counts_drop_late_rows(spark, tmp_path):
 
     df = spark.createDataFrame([(D(2024, 1, 1), "a"), (D(2024, 1, 2), "a"), (D(2024, 9, 1), "a")], "judged_at timestamp_ntz, split string")
     df.write.parquet(str(tmp_path / "in"))
-    stream = monthly_judgements(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    stream = windowed_judgements(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
     q = stream.writeStream.format("memory").queryName("monthly").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.judged for r in spark.table("monthly").collect()] == [2]
