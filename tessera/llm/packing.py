@@ -23,7 +23,6 @@ from tessera.llm.tokens import default_ranks, encoder
 WORDS = re.compile(r"[^\W\d_]+")
 CAPACITY, SHARD_DOCS = 4096, 2000
 K1, B = 1.5, 0.75
-QUERY_TERMS = 48  # of a seed, the rarest
 CLOSE = 0.01  # of the capacity: how much more room the last document may leave than the best fit
 
 
@@ -42,13 +41,11 @@ class ShardIndex:
         self.docs = doc[order]
         self.weights = (idf[term] * times * (K1 + 1) / (times + norm[doc]))[order]
         self.starts = np.concatenate([[0], np.cumsum(df)]).astype(np.int64)
-        rare = np.lexsort((df[term], doc))
-        self.terms, self.ends = term[rare], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.terms, self.ends = term, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document for the rarest words of one document."""
-        first, end = self.ends[seed], self.ends[seed + 1]
-        terms = self.terms[first : min(end, first + QUERY_TERMS)]
+        """BM25 of every document for all distinct words of one document."""
+        terms = self.terms[self.ends[seed] : self.ends[seed + 1]]
         if not len(terms):
             return np.zeros(self.n)
         starts, sizes = self.starts[terms], self.starts[terms + 1] - self.starts[terms]

@@ -24,6 +24,14 @@ def test_neighbours_come_first():
     assert fill(np.array([40, 39, 10, 10, 10]), index(docs), 100)[0][:2] == [0, 2]
 
 
+def test_all_words_of_a_long_seed_count():
+    own = [f"riêng{i}" for i in range(60)]
+    docs = [[*own, "đất"], ["thuế"], ["đất"], ["đất", "thuế"]]
+    scores = index(docs).scores(0)
+    assert scores[1] == 0 and scores[2] > scores[3] > 0
+    assert fill(np.array([40, 20, 20, 20]), index(docs), 100)[0][:2] == [0, 2]
+
+
 def test_no_overflow_and_each_once():
     rng = random.Random(0)
     sizes = np.array([rng.randint(1, 90) for _ in range(400)])
