@@ -32,6 +32,15 @@ def context_docs(hits: DataFrame, articles: DataFrame, max_chars: int = 1500) ->
     return rows.select("query", "doc", "rank", citation(F.col("doc"), F.col("title")).alias("citation"), text.alias("text"))
 
 
+def shown_hits(shown: DataFrame, hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query, doc, rank, hit_text) of shown articles (query, doc, place): the matched text, else the article (doc, text).
+
+    ``hits`` (query, doc, hit_text) are those that the articles were drawn from; gold may be missing there.
+    """
+    rows = shown.select("query", "doc", F.col("place").alias("rank")).join(hits.select("query", "doc", "hit_text"), ["query", "doc"], "left")
+    return rows.join(docs.select("doc", "text"), "doc").select("query", "doc", "rank", F.coalesce("hit_text", "text").alias("hit_text"))
+
+
 def sampled_docs(
     gold: DataFrame, hits: DataFrame, *, n_contexts: int = 3, pool: int = 10, neg_ratio: float = 0.15, seed: int = 13
 ) -> DataFrame:

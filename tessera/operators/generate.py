@@ -80,16 +80,19 @@ def answered(
 ) -> DataFrame:
     """(query, answer, refused, gated, top_score, cited): from candidates to cited answers.
 
-    ``hits`` are re-ranked to ``k``; a question whose best score is under ``threshold``, or that has no hit, is refused
+    ``hits`` (query, doc, and hit_text where the match has a text of its own, else it is the whole document's) are
+    re-ranked to ``k``; a question whose best score is under ``threshold``, or that has no hit, is refused
     without asking the model: only the others' rows reach it.
     """
+    if "hit_text" not in hits.columns:
+        hits = hits.select("query", "doc").join(docs.select("doc", F.col("text").alias("hit_text")), "doc")
     best = rerank(hits, questions, docs, k)
     top = questions.select("query").join(best.groupBy("query").agg(F.max("score").alias("top_score")), "query", "left")
     rows = gated(top.withColumn("answer", F.lit(None).cast("string")), F.col("top_score"), threshold if threshold is not None else 0.0)
     if threshold is None:
         rows = rows.withColumn("gated", F.lit(False))
     asked = best.join(rows.where(~F.col("gated")).select("query"), "query", "left_semi")
-    shown = context_docs(asked.select("query", "doc", "rank").join(docs.select("doc", F.col("text").alias("hit_text")), "doc"), articles)
+    shown = context_docs(asked.select("query", "doc", "rank", "hit_text"), articles)
     packed = shown.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "doc", "citation", "text"))).alias("d"))
     prompts = packed.join(questions, "query").select(
         F.col("query").alias("id"), T.messages(F.col("text"), F.transform("d", lambda x: F.struct(x["citation"].alias("citation"), x["text"].alias("text")))).alias("prompt")

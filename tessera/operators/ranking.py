@@ -38,9 +38,12 @@ def rerank(hits: DataFrame, questions: DataFrame, docs: DataFrame, k: int, score
     """(query, doc, score, rank): hits scored anew with their texts, which are fetched after the first ranking.
 
     ``questions`` (query, text), ``docs`` (doc, text); ``scorer`` takes two columns, so a model's Arrow function fits.
+    Hits with a ``hit_text`` of their own are scored by it and keep it.
     """
-    paired = hits.select("query", "doc").join(questions.select("query", F.col("text").alias("asked")), "query").join(docs.select("doc", "text"), "doc")
-    return top(paired.select("query", "doc", F.round(scorer(F.col("asked"), F.col("text")), 6).alias("score")), k)
+    own = ["hit_text"] if "hit_text" in hits.columns else []
+    paired = hits.select("query", "doc", *own).join(questions.select("query", F.col("text").alias("asked")), "query")
+    paired = paired.withColumn("text", F.col("hit_text")) if own else paired.join(docs.select("doc", "text"), "doc")
+    return top(paired.select("query", "doc", *own, F.round(scorer(F.col("asked"), F.col("text")), 6).alias("score")), k)
 
 
 def per_query_metrics(run: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.lineage import cut
-from tessera.operators.bm25 import K1, B, query_terms, tokenized, top
+from tessera.operators.bm25 import FANOUT, K1, B, pooled, query_terms, tokenized, top
+from tessera.operators.chunking import chunk_articles
 
 SHARD_DOCS, LEAST_DOCS = 8000, 1000
 SCALE = 10**9  # scores are sums of whole billionths, exact in any order
@@ -110,3 +111,13 @@ def search_texts(docs: DataFrame, queries: DataFrame, k: int, *, bigrams: bool =
     rows = held.union(copies).repartition("shard").sortWithinPartitions("shard", "kind", "key")
     scored = rows.mapInArrow(run, "query string, doc string, score decimal(20,0)").withColumn("score", (F.col("score") / F.lit(SCALE)).cast("decimal(20,9)"))
     return top(scored, k)
+
+
+def search_articles(articles: DataFrame, queries: DataFrame, k: int, *, bigrams: bool = False) -> DataFrame:
+    """(query, doc, score, rank, chunk, hit_text): the best ``k`` articles by their best chunk, with that chunk's text.
+
+    Every article (article_id, title, text) is cut into its chunks and can be found. The texts are joined after the top k.
+    """
+    chunks = cut(chunk_articles(articles))
+    hits = search_texts(chunks.select(F.col("chunk_id").alias("doc"), "text"), queries, k * FANOUT, bigrams=bigrams)
+    return pooled(hits, chunks, k).join(chunks.select(F.col("chunk_id").alias("chunk"), F.col("text").alias("hit_text")), "chunk").select("query", "doc", "score", "rank", "chunk", "hit_text")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.lineage import cut
 from tessera.operators import answers as A
 from tessera.operators import bm25, sharded_search
-from tessera.operators.contexts import context_docs, prompt_records, sampled_docs, share, subsample, train_val
+from tessera.operators.contexts import context_docs, prompt_records, sampled_docs, share, shown_hits, subsample, train_val
 from tessera.operators.ranking import overlap
 from tessera.plans.registry import Registry
 from tessera.plans.retrieval_queries import _BM25, _articles, _asked, _docs, _gold
@@ -208,16 +209,23 @@ FROM (SELECT u_ranked.query, u_ranked.doc, rank, docs.text, regexp_replace(split
   FROM u_ranked JOIN docs ON docs.doc = u_ranked.doc JOIN articles a ON a.article_id = u_ranked.doc WHERE rank <= 3)"""
 )
 def context_passages(spark: SparkSession, folder: str) -> DataFrame:
-    """Passage and citation of the three best articles of each question of the query set."""
+    """Passage and citation of the three best articles of each question, whole articles searched: a long one gives its start."""
     hits = _pool(spark, folder).where("rank <= 3").join(_docs(spark, folder).select("doc", F.col("text").alias("hit_text")), "doc")
     return context_docs(hits.select("query", "doc", "rank", "hit_text"), _articles(spark, folder))
 
 
-def _shown(spark: SparkSession, folder: str) -> DataFrame:
+@R.add()
+def context_passages_matched(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with chunks searched: a long article gives the chunk that matched."""
+    known = _articles(spark, folder)
+    return context_docs(sharded_search.search_articles(known, _asked(spark, folder), 3).select("query", "doc", "rank", "hit_text"), known)
+
+
+def _shown(spark: SparkSession, folder: str, pool: DataFrame) -> DataFrame:
     known, asked = _articles(spark, folder), _asked(spark, folder)
     gold = _gold(spark, folder).select(F.col("query_id").alias("query"), F.col("article_id").alias("doc"))
     gold = gold.join(asked.select("query"), "query", "left_semi").join(known.select(F.col("article_id").alias("doc")), "doc", "left_semi")
-    return sampled_docs(gold, _pool(spark, folder))
+    return sampled_docs(gold, pool)
 
 
 _SHOWN = (
@@ -242,15 +250,16 @@ both_kinds AS (
 @R.add(_SHOWN + " SELECT query, kind, doc, place, is_gold FROM shown")
 def oracle_contexts(spark: SparkSession, folder: str) -> DataFrame:
     """The articles each judged question of the query set is shown: gold and hard negatives, or negatives only."""
-    return _shown(spark, folder)
+    return _shown(spark, folder, _pool(spark, folder))
 
 
 @R.add()
 def sft_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    """Prompt records of the same questions."""
-    shown, docs = _shown(spark, folder), _docs(spark, folder)
-    hits = shown.select("query", "doc", F.col("place").alias("rank")).join(docs.select("doc", F.col("text").alias("hit_text")), "doc")
-    return prompt_records(shown, context_docs(hits, _articles(spark, folder)), _asked(spark, folder))
+    """Prompt records of the same questions, drawn from the ten best articles by their best chunk."""
+    known = _articles(spark, folder)
+    pool = cut(sharded_search.search_articles(known, _asked(spark, folder), 10))
+    shown = cut(_shown(spark, folder, pool))
+    return prompt_records(shown, context_docs(shown_hits(shown, pool, _docs(spark, folder)), known), _asked(spark, folder))
 
 
 _SFT = """raw AS (SELECT line_no, id, type, n_docs, coalesce(gold, []) AS gold, list_filter(completion, lambda m: m.role = 'assistant')[-1].content AS answer FROM sft_raw),

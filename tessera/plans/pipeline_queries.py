@@ -72,6 +72,6 @@ def stub_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 @R.add()
 def pipeline_answer(spark: SparkSession, folder: str) -> DataFrame:
-    """From question to cited answer: search, re-ranking, gate, prompt, stand-in model, citations."""
-    docs, asked = _docs(spark, folder), _asked(spark, folder)
-    return answered(sharded_search.search_texts(docs, asked, 30), asked, docs, _articles(spark, folder), first_sentence, threshold=0.5)
+    """From question to cited answer: search over chunks, re-ranking, gate, prompt, stand-in model, citations."""
+    known, docs, asked = _articles(spark, folder), _docs(spark, folder), _asked(spark, folder)
+    return answered(sharded_search.search_articles(known, asked, 30), asked, docs, known, first_sentence, threshold=0.5)
