@@ -61,7 +61,13 @@ DECLINES = re.compile(
 POLITE = re.compile(
     r"vui long|thong cam|mong anh|mong ban|lien he|hoi don vi|please|contact|consult|veuillez|por favor|consulte|bitte|apolog|xin loi|rat tiec|cam on"
 )
-CONDITION = re.compile(r"\b(?:neu|khi|tru khi|truong hop|if|when|unless|where|si|lorsque|cuando|wenn|tuy nhien|nhung|however|mais|pero)\b")
+# What makes a clause conditional, and what sets an answer against a decline, in lower case with accents: without them
+# "nêu" (state) is "nếu" (if), "những" (plural) "nhưng" (but) and "sĩ" "si".
+CONDITION = re.compile(r"\b(?:nếu|khi|trừ khi|trường hợp|if|when|unless|where|si|lorsque|cuando|wenn)\b")
+CONTRAST = re.compile(r"\b(?:tuy nhiên|nhưng|however|mais|pero)\b")
+# For Vietnamese without any accent; "neu ro", "da neu", "duoc neu" and "nhung cau hoi" and the like are no conditions.
+PLAIN_CONDITION = re.compile(r"\b(?:(?<!da )(?<!duoc )(?<!khong )(?<!vua )(?<!chua )neu(?! ro\b| tren\b| o\b)|khi|tru khi|truong hop)\b")
+PLAIN_CONTRAST = re.compile(r"\b(?:tuy nhien|nhung(?! (?:cau|van de|noi dung|dieu|quy dinh|thong tin|doan|truong hop|can cu|yeu cau)\b))\b")
 
 
 def fold(text: str) -> str:
@@ -70,16 +76,37 @@ def fold(text: str) -> str:
     return re.sub(r"[̀-ͯ]", "", flat)
 
 
+def _excused(sentence: str, start: int, end: int) -> bool:
+    """Whether the decline at start:end of a folded sentence is not all it says: it stands in a condition, or an answer goes on beside it.
+
+    Conditions count outside the declining words.
+    """
+    letters = [fold(c) for c in sentence]
+    flat = "".join(letters)
+    # Places of the folded characters in the sentence, which may be longer or shorter.
+    at = [i for i, c in enumerate(letters) for _ in c] + [len(sentence)]
+    plain = flat == sentence.replace("’", "'")
+    tests = (PLAIN_CONDITION, PLAIN_CONTRAST) if plain else ()
+    first, last = at[start], at[end]
+    outside = sentence[:first] + " " * (last - first) + sentence[last:]
+    opening = re.match(r"\W*sau khi[^,]*,", flat)
+    if opening:
+        outside = outside[at[opening.end()] :]
+    return any(p.search(outside) for p in (CONDITION, CONTRAST, *tests))
+
+
 def declines(text: str) -> bool:
     """Whether a text without reasoning and citations does nothing but decline.
 
     Its main clause declines; a decline inside a condition or one that an answer follows is none.
     """
-    sentences = [s for s in re.split(r"(?<=[.!?])\s+|\n+", fold(text).strip()) if LETTERS.search(s)]
+    whole = unicodedata.normalize("NFC", text.lower())
+    sentences = [s for s in re.split(r"(?<=[.!?])\s+|\n+", whole.strip()) if LETTERS.search(s)]
     rest = declined = 0
-    for s in sentences:
+    for accented in sentences:
+        s = fold(accented)
         m = DECLINES.search(s)
-        if m and len(WORDS.findall(s)) <= 40 and not CONDITION.search(re.sub(r"^\W*sau khi[^,]*,", "", s)):
+        if m and len(WORDS.findall(s)) <= 40 and not _excused(accented, m.start(), m.end()):
             declined += 1
         elif not POLITE.search(s):
             rest += len(WORDS.findall(s))

@@ -13,6 +13,10 @@ DONE = "Chủ tàu cá phải gia hạn hợp đồng trong 12 ngày [1]. Mức
     ("Hiện chưa đủ thông tin để kết luận. Anh chị vui lòng hỏi đơn vị chuyên môn.", True), (DONE, False), ("Không [1].", False), ("", False),
     ("Kho vật chứng có quyền từ chối bảng kê nếu không tìm thấy căn cứ về kinh doanh; khi đó trạm được thu hồi lại trong 65 ngày.", False),
     ("Ngữ cảnh không nêu riêng bản cam kết, tuy nhiên bên thuê kho vẫn phải kê khai giấy xác nhận trong 70 ngày.", False),
+    ("Tài liệu không nêu rõ vấn đề này.", True), ("Tôi không thể trả lời những câu hỏi này.", True), ("Các đoạn đã nêu không đủ thông tin để kết luận.", True),
+    ("Tai lieu khong neu ro van de nay.", True), ("Toi khong the tra loi nhung cau hoi nay.", True), ("Cac doan da neu khong du thong tin de ket luan.", True),
+    ("Tôi không có quyền trả lời về bác sĩ này.", True), ("Nếu không tìm thấy căn cứ, kho vật chứng trả lại hồ sơ.", False), ("Kho tra lai ho so neu khong tim thay can cu.", False),
+    ("Tài liệu không nêu rõ mức thu, nhưng chủ tàu phải nộp phí.", False), ("Tai lieu khong neu ro muc thu, nhung chu tau phai nop phi.", False),
     ("The clerk cannot answer before 5 days if the figures do not match. The fee is 5 dong for each request of the kind.", False),
 ])
 def test_declines(text, want):
