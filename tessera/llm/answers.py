@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -141,6 +142,29 @@ def trigrams(text: str) -> Counter:
     return Counter(map("".join, zip(padded, padded[1:], padded[2:]))) if words else Counter()
 
 
+ONE_SCRIPT = {"HIRAGANA": "CJK", "KATAKANA": "CJK", "IDEOGRAPHIC": "CJK"}  # Japanese mixes them
+
+
+@cache
+def _script(letter: str) -> str:
+    """The script of a letter, by the first word of its Unicode name."""
+    name = unicodedata.name(unicodedata.normalize("NFKC", letter)[0], "?").split()[0]
+    return ONE_SCRIPT.get(name, name)
+
+
+def scripts(text: str) -> Counter:
+    """How many letters of the text are in each script."""
+    found: Counter = Counter()
+    for c, n in Counter(text).items():
+        if c.isalpha():
+            found[_script(c)] += n
+    return found
+
+
+def _share(found: Counter, held: set[str]) -> float:
+    return sum(n for s, n in found.items() if s in held) / max(1, found.total())
+
+
 class Languages:
     """Character-trigram naive Bayes over labelled texts; without accents a Vietnamese text is Vietnamese."""
 
@@ -157,6 +181,24 @@ class Languages:
         seen = table / np.maximum(table.sum(axis=1, keepdims=True), 1)
         self.logs = np.log(0.95 * seen + 0.05 / table.shape[1]).astype(np.float32)
         self.groups = [c.split("-")[0] for c in self.classes]
+        letters: dict[str, Counter] = {}
+        for (c, gram), n in counts.items():
+            held = letters.setdefault(c.split("-")[0], Counter())
+            for s, k in scripts(gram).items():
+                held[s] += n * k
+        #: The scripts each language is written in: those of a twentieth of its letters.
+        self.scripts = {g: {s for s, n in held.items() if n >= 0.05 * held.total()} for g, held in letters.items()}
+
+    def other_script(self, question: str, answer: str, asked: str) -> bool | None:
+        """Whether most letters of the answer are in scripts that the question's language is not written in.
+
+        None where both are in scripts that no labelled text has: likelihoods of trigrams say nothing then. A question
+        outside of the scripts of ``asked`` stands for its own.
+        """
+        q, a, held = scripts(question), scripts(answer), self.scripts.get(asked, set())
+        if _share(q, held) >= 0.5:
+            return _share(a, held) < 0.5
+        return True if _share(a, {s for s, n in q.items() if n >= 0.05 * q.total()}) < 0.5 else None
 
     def scores(self, text: str) -> dict[str, float]:
         """Log-likelihood of the text by language."""
@@ -296,11 +338,13 @@ def defects(answers: DataFrame, languages: Languages, *, margin: float = 3.0) ->
         if question and copies(bare, question):
             return "copied", 0.0, []
         if question:
-            q, a = languages.scores(canonical_text(question)), languages.scores(bare)
+            put = canonical_text(question)
+            q, a = languages.scores(put), languages.scores(bare)
             if q and a:
                 asked = max(q, key=q.get)
                 best = max(a, key=a.get)
-                if best != asked and a[best] - a[asked] > margin:
+                other = languages.other_script(put, bare, asked)
+                if other or (other is False and best != asked and a[best] - a[asked] > margin):
                     return "other_language", 0.0, []
         if "<think>" in text or list_breaks_off(text):
             return "truncated", 0.0, []

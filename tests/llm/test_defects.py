@@ -1,6 +1,6 @@
 import pytest
 
-from tessera.llm.answers import CITATION, answer_rows, copies, declines, defects, last_mark, list_breaks_off, train_languages, visible
+from tessera.llm.answers import CITATION, Languages, answer_rows, copies, declines, defects, last_mark, list_breaks_off, train_languages, trigrams, visible
 
 Q = "Trong trường hợp con dấu bị mất, việc gia hạn hợp đồng lưu kho của chủ tàu cá có cần đăng tải lô hàng sau 12 ngày không?"
 DONE = "Chủ tàu cá phải gia hạn hợp đồng trong 12 ngày [1]. Mức thu là 5.000 đồng cho mỗi lô hàng [2]."
@@ -61,6 +61,28 @@ def test_first_defect_of_each_answer(spark):
     assert defects(df.limit(0), languages).count() == 0
 
 
+def test_other_scripts():
+    texts = {"vi": Q + DONE, "en": "The licensing office must check the storage contract in time. "}
+    languages = Languages({(c, g): n for c, t in texts.items() for g, n in trigrams(t).items()}, 1000)
+    foreign = ["合同必须在十二天内续签，并通知发证机关。", "契約は十二日以内に更新しなければなりません。", "계약은 십이일 이내에 갱신해야 합니다.", "ต้องต่อสัญญาภายในสิบสองวัน", "يجب تجديد العقد خلال اثني عشر يوما.", "Договор нужно продлить в течение двенадцати дней."]
+    for text in foreign:
+        assert languages.other_script(Q, text + " [1]", "vi") and languages.other_script(text, DONE, "en")
+        assert languages.other_script(text, text, "en") is None
+    assert languages.other_script(Q, DONE, "vi") is False and languages.other_script(Q, DONE + " (合同)", "vi") is False
+    assert languages.other_script(foreign[0], foreign[1], "en") is None and languages.other_script(foreign[0], foreign[5], "en")
+
+
+def test_answers_in_other_scripts(spark):
+    viet = "Chủ tàu cá phải gia hạn hợp đồng lưu kho trong {} ngày khi con dấu bị mất và phải thông báo cho cơ quan cấp phép. "
+    english = "The licensing office must check the storage contract within {} days if the figures do not match. "
+    docs = [(i, lang, text.format(i) * 3) for lang, text in (("vi", viet), ("en", english)) for i in range(20)]
+    languages = train_languages(spark.createDataFrame(docs, "doc_id bigint, lang string, text string"))
+    chinese, russian = "合同必须在十二天内续签，并通知发证机关。", "Договор нужно продлить в течение двенадцати дней [1]."
+    rows = [("s", 1, Q, chinese, True), ("s", 2, Q, russian, True), ("s", 3, russian, "Да, это так и есть [1].", True), ("s", 4, Q, DONE, True)]
+    got = defects(spark.createDataFrame(rows, "src string, line_no bigint, question string, answer string, has_gold boolean"), languages)
+    assert {r.line_no: r.defect for r in got.collect()} == {1: "other_language", 2: "other_language"}
+
+
 def test_rows_of_both_tables(spark):
     gen = spark.createDataFrame([(1, [1], "NGỮ CẢNH:\nx\n\nCÂU HỎI: a CÂU HỎI: b", "c"), (2, None, None, None)], "line_no bigint, gold array<int>, context string, answer string")
     turn = "array<struct<role string, content string>>"
