@@ -238,6 +238,13 @@ def bm25_chunk_pooled(spark: SparkSession, folder: str) -> DataFrame:
     return bm25.pooled(hits, known, 10).select("query", "doc", "rank", F.col("score").cast("double").alias("score"), "chunk")
 
 
+@R.add()
+def bm25_article_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best articles by their best chunk, out of the forty best chunks of all articles."""
+    hits = sharded_search.search_articles(_articles(spark, folder), _asked(spark, folder), 10)
+    return hits.select("query", "doc", "rank", F.col("score").cast("double").alias("score"), "chunk")
+
+
 @R.add()
 def chunk_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Every article cut into overlapping windows of whole lines."""

@@ -1,8 +1,10 @@
 import pytest
+from test_retrieval import brute_bm25
 
 from tessera.operators.generate import answered
 from tessera.operators.sharded_search import search_articles
-from tessera.plans import answer_queries, pipeline_queries
+from tessera.operators.chunking import lines_of, windows
+from tessera.plans import answer_queries, pipeline_queries, retrieval_queries
 
 FILLER = "\n".join(f"Khoản {i}. Cơ quan lập sổ và lưu hồ sơ theo mẫu chung của ngành trong năm." for i in range(60))
 LONG = FILLER + "\nPhạt chủ thuyền thả neo sai bến"
@@ -47,3 +49,18 @@ def test_model_sees_the_match(spark, folder):
     docs = articles.selectExpr("article_id doc", "concat(title, chr(10), text) text")
     said = answered(hits, asked, docs, articles, seen, threshold=0.5).first().answer
     assert "Phạt chủ thuyền thả neo sai bến" in said.partition("CÂU HỎI")[0]
+
+
+def test_every_article_is_searched_by_its_chunks(spark, folder):
+    chunks = []
+    for article, title, text in [("l+1", "Điều 1. Neo", LONG), *OTHERS]:
+        lines = lines_of(text, 1200, 200)
+        chunks += [(f"{article}#{i}", "\n".join([title, *lines[a:b]])) for i, (a, b) in enumerate(windows([*map(len, lines)], 1200, 200))]
+    assert len(chunks) > 8
+    got = retrieval_queries.R.queries["bm25_article_chunks"](spark, folder).orderBy("query", "rank").collect()
+    for query, text in (("q", ASKED), ("r", "về kho hàng")):
+        best = {}
+        for chunk, score in brute_bm25(chunks, text)[:40]:
+            best.setdefault(chunk.partition("#")[0], (chunk, round(score, 6)))
+        want = sorted(((d, c, s) for d, (c, s) in best.items()), key=lambda x: (-x[2], x[0]))[:10]
+        assert [(r.doc, r.chunk, round(r.score, 6)) for r in got if r["query"] == query] == want
