@@ -228,7 +228,7 @@ def train_languages(documents: DataFrame, *, per_language: int = 1000, grams: in
         for batch in batches:
             found: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = canonical_text(text[:20_000])
+                text = canonical_text(text)
                 for c, t in ((lang, text), *([(f"{lang}-plain", fold(text))] if lang == "vi" else [])):
                     for g, n in trigrams(t).items():
                         found[c, g] += n

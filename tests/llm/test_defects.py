@@ -83,6 +83,12 @@ def test_answers_in_other_scripts(spark):
     assert {r.line_no: r.defect for r in got.collect()} == {1: "other_language", 2: "other_language"}
 
 
+def test_languages_read_whole_texts(spark):
+    docs = [(1, "en", "office " * 3000 + "zyzzyva " * 10), (2, "vi", "chủ tàu " * 30)]
+    languages = train_languages(spark.createDataFrame(docs, "doc_id bigint, lang string, text string"))
+    assert "zyz" in languages.index
+
+
 def test_rows_of_both_tables(spark):
     gen = spark.createDataFrame([(1, [1], "NGỮ CẢNH:\nx\n\nCÂU HỎI: a CÂU HỎI: b", "c"), (2, None, None, None)], "line_no bigint, gold array<int>, context string, answer string")
     turn = "array<struct<role string, content string>>"
