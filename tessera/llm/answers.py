@@ -365,13 +365,14 @@ def defects(answers: DataFrame, languages: Languages, *, margin: float = 3.0) ->
                 ["src", "line_no", "defect", "mark", "keys"],
             )
 
-    judged = cut(rows.mapInArrow(run, schema))
+    # A number for each row; stored, so that it stays the same.
+    judged = cut(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
     certain = judged.where("defect is not null").select("src", "line_no", "defect")
     # Likelihood of an end after the last k words, each backed off to the one after k - 1.
-    asked = judged.where("defect is null and size(keys) > 0").select("src", "line_no", "mark", F.posexplode("keys").alias("k", "key"))
+    asked = judged.where("defect is null and size(keys) > 0").select("row", "src", "line_no", "mark", F.posexplode("keys").alias("k", "key"))
     wanted = asked.select("key").distinct()
     counts = end_counts(rows).join(wanted, "key")
-    seen = asked.join(counts, "key", "left").groupBy("src", "line_no", "mark").agg(
+    seen = asked.join(counts, "key", "left").groupBy("row", "src", "line_no", "mark").agg(
         F.array_sort(F.collect_set(F.struct("k", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ends", F.lit(0)).alias("ends")))).alias("runs")
     )
     chance = F.aggregate("runs", F.lit(0.03).cast("double"), lambda p, r: (r["ends"] + 2 * p) / (r["n"] + 2))

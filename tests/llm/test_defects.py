@@ -83,6 +83,16 @@ def test_answers_in_other_scripts(spark):
     assert {r.line_no: r.defect for r in got.collect()} == {1: "other_language", 2: "other_language"}
 
 
+def test_rows_of_one_number_count_each(spark):
+    docs = [(1, "vi", (Q + " " + DONE) * 3), (2, "en", "The licensing office must check the storage contract in time. " * 5)]
+    languages = train_languages(spark.createDataFrame(docs, "doc_id bigint, lang string, text string"))
+    broken = DONE + " Đồng thời chủ tàu cá phải gia"
+    rows = [("s", 1, Q, broken, True)] * 2 + [("s", 2, Q, broken, True), ("s", 2, Q, DONE + " Chủ tàu cá phải gia hạn", True), ("s", 3, Q, DONE, True)]
+    rows += [("s", 100 + i, Q, DONE + f" Chủ tàu cá phải gia hạn hợp đồng trong {i} ngày.", True) for i in range(30)]
+    got = defects(spark.createDataFrame(rows, "src string, line_no bigint, question string, answer string, has_gold boolean"), languages)
+    assert sorted((r.line_no, r.defect) for r in got.collect()) == [(1, "truncated")] * 2 + [(2, "truncated")] * 2
+
+
 def test_languages_read_whole_texts(spark):
     docs = [(1, "en", "office " * 3000 + "zyzzyva " * 10), (2, "vi", "chủ tàu " * 30)]
     languages = train_languages(spark.createDataFrame(docs, "doc_id bigint, lang string, text string"))
