@@ -1,16 +1,18 @@
 """Near-duplicate records with small edits (problem 1).
 
 Texts become sets of hashed word shingles. Texts with one and the same set are represented once. Many universal hash
-minima make a signature; bands of it are bucket keys. Within a bucket every text is compared with the bucket's smallest
-one only; those whose signatures disagree with it are then compared with the rest of the bucket, so that no link
-between buckets' members is lost although a bucket of m alike texts costs m comparisons. Verified links are joined to
-classes by alternating large-star and small-star.
+minima make a signature; bands of it are bucket keys. Only bucket keys and signatures are kept; signatures
+are verified for those that share a bucket. Buckets with the same members count once. Within a bucket every text is
+compared with the bucket's smallest one by signature; those not surely like it choose a smallest one among them, which
+meets the bucket too; what then still has no neighbour in common meets one by one, so that no link between a bucket's
+members is lost although a bucket of m alike texts costs m comparisons. Shingles, made again for what is alike by
+signature only, verify the links, and alternating large-star and small-star joins them to classes.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,84 +32,104 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
     words = WORD.findall(canonical_text(text).lower())
     if not words:
         return np.empty(0, np.uint64)
-    codes = np.fromiter((_word_code(w) for w in words), np.uint64, len(words))
+    codes = np.array([_codes[w] for w in words], np.uint64)
     width = min(width, len(words))
     run = np.zeros(len(codes) - width + 1, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
             run = (run ^ codes[k : len(codes) - width + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
             run ^= run >> np.uint64(29)
-    return np.unique(run)
+    run.sort()
+    return run[np.concatenate([[True], run[1:] != run[:-1]])]
 
 
-_codes: dict[str, int] = {}
+class _Codes(dict):
+    """A 64-bit hash for each word, kept while a worker lives."""
 
-
-def _word_code(word: str) -> int:
-    if (code := _codes.get(word)) is None:
+    def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(_codes) > 500_000:
-            _codes.clear()
-        code = _codes[word] = xxhash.xxh64_intdigest(word)
-    return code
+        if len(self) > 500_000:
+            self.clear()
+        code = self[word] = xxhash.xxh64_intdigest(word)
+        return code
+
 
+_codes = _Codes()
 
-def _coefficients(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+
+def _coefficients(n: int, seed: int, kind: type = np.uint64) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    a = rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return a, rng.integers(0, 2**63, n, dtype=np.uint64)
+    most = np.iinfo(kind).max
+    return rng.integers(0, most, n, dtype=kind) | kind(1), rng.integers(0, most, n, dtype=kind)
 
 
 def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One 32-bit minimum for each multiply-shift hash function."""
-    least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+    """One 32-bit minimum for each multiply-add hash function over the shingles, folded to 32 bits."""
+    folded = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
+    least = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
     with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 512):
-            block = shingles[at : at + 512]
-            np.minimum(least, (a[:, None] * block[None, :] + b[:, None]).min(axis=1), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(folded), 128):
+            block = folded[at : at + 128, None] * a
+            block += b
+            np.minimum(least, block.min(axis=0), out=least)
+    return least
 
 
-def sketch(df: DataFrame, key: str, text: Column, width: int, bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> DataFrame:
-    """(key, shingles, signature, buckets) for each row whose text has a word."""
-    schema = "key string, shingles array<bigint>, signature array<int>, buckets array<bigint>"
+def _sketched(df: DataFrame, key: str, text: Column, schema: str, width: int, describe: Callable[[np.ndarray], list]) -> DataFrame:
+    """``schema``: key, set_id and what ``describe`` makes of the shingles of each row whose text has a word."""
+    import xxhash
+
+    source = df.select(F.col(key).cast("string").alias("key"), text.alias("text")).where("key is not null and text is not null")
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _coefficients(bands * rows, seed)
-        mix = _coefficients(rows, seed + 1)[0]
-        band = _coefficients(bands, seed + 2)[0]
         for batch in batches:
-            keys, sets, signs, cells = [], [], [], []
+            keys, ids, more = [], [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingle_hashes(t, width)
                 if len(s):
-                    m = minima(s, a, b)
-                    with np.errstate(over="ignore"):
-                        h = (m.reshape(bands, rows).astype(np.uint64) + np.uint64(1)) * mix
-                        h = np.bitwise_xor.reduce(h ^ (h >> np.uint64(31)), axis=1) * band
-                        h ^= h >> np.uint64(32)
                     keys.append(k)
-                    sets.append(s.view(np.int64))
-                    signs.append(m.view(np.int32))
-                    cells.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), _lists(sets, pa.int64()), _lists(signs, pa.int32()), _lists(cells, pa.int64())],
-                ["key", "shingles", "signature", "buckets"],
-            )
+                    ids.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    more.append(describe(s))
+            lists = [_lists(list(x)) for x in zip(*more)] if more else [_lists([], k) for k in KINDS[names[2:][0]]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ids, pa.binary()), *lists], names)
 
-    source = df.select(F.col(key).cast("string").alias("key"), text.alias("text")).where("key is not null and text is not null")
     return source.mapInArrow(run, schema)
 
 
-def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+def sketch(df: DataFrame, key: str, text: Column, width: int, bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> DataFrame:
+    """(key, set_id, buckets, signature) for each row whose text has a word.
+
+    set_id is a 128-bit hash of the shingle set. A signature holds the lowest byte of each minimum: it tells minima
+    apart but for one in 256.
+    """
+    a, b = _coefficients(bands * rows, seed, np.uint32)
+    mix = _coefficients(rows, seed + 1)[0]
+    band = _coefficients(bands, seed + 2)[0]
+
+    def describe(shingles: np.ndarray) -> list:
+        m = minima(shingles, a, b)
+        with np.errstate(over="ignore"):
+            h = (m.reshape(bands, rows).astype(np.uint64) + np.uint64(1)) * mix
+            h = np.bitwise_xor.reduce(h ^ (h >> np.uint64(31)), axis=1) * band
+            h ^= h >> np.uint64(32)
+        return [h.view(np.int64), m.astype(np.uint8).view(np.int8)]
+
+    return _sketched(df, key, text, "key string, set_id binary, buckets array<bigint>, signature array<tinyint>", width, describe)
+
+
+KINDS = {"buckets": (pa.int64(), pa.int8()), "shingles": (pa.int64(),)}
+
+
+def _lists(arrays: list[np.ndarray], kind: pa.DataType | None = None) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
     flat = np.concatenate(arrays) if arrays else np.empty(0, kind.to_pandas_dtype())
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
 def _agreement(a: str, b: str) -> Column:
-    """Share of equal minima: an unbiased estimate of the shared part of two shingle sets."""
+    """Share of equal minima: an estimate of the shared part of two shingle sets."""
     same = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
     return same / F.size(a)
 
@@ -121,70 +143,82 @@ def shared(a: str, b: str) -> Column:
 class NearDuplicates:
     """The result of :func:`near_duplicates`.
 
-    members: (key, rep): every key that has a word, and the representative of its shingle set
+    members: (key, rep): every key that has a word, and the number of its shingle set; one row for each set of a key
     classes: (key, class_id): one row a key; class_id is the smallest key of its class
     pairs:   (id_a, id_b, similarity): every pair of keys at or over the threshold, id_a < id_b
     """
 
-    def __init__(self, sets: DataFrame, members: DataFrame, threshold: float, slack: float):
+    def __init__(self, named: DataFrame, sets: DataFrame, members: DataFrame, detail: Callable[[DataFrame], DataFrame], threshold: float, slack: float):
         self.members, self._threshold, self._slack = members, threshold, slack
-        # A bucket's key is of one band: the bands' keys are multiplied by numbers of their own.
-        cells = sets.select("rep", F.explode("buckets").alias("bucket"))
-        first = cells.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
-        crowded = cut(cells.join(first.drop("n"), "bucket"))
+        own = named.join(sets.select(F.col("rep").alias("row")), "row", "left_semi").withColumnRenamed("row", "rep")
+        cells = own.select("rep", F.explode("buckets").alias("bucket"))
+        # A bucket's key is of one band: the bands' keys are multiplied by numbers of their own. Buckets of the same
+        # members (by number, smallest and two sums of hashes) count once.
+        sums = (F.sum(F.xxhash64("rep", F.lit(i)).bitwiseAND(2**40 - 1)).alias(f"sum{i}") for i in range(2))
+        seen = cells.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("head"), *sums).where("n > 1")
+        once = seen.groupBy("n", "head", "sum0", "sum1").agg(F.min("bucket").alias("bucket")).select("bucket", "head")
+        self._crowded = cut(cells.join(once, "bucket").select("bucket", "head", "rep"))
         # Only texts that share a bucket are looked at again.
-        self._near = cut(sets.select("rep", "signature", "shingles").join(crowded.select("rep").distinct(), "rep", "left_semi"))
-        heads = cut(crowded.where("rep <> head").select("head", "rep").distinct())
-        linked = cut(self._verified(heads.toDF("a", "b")))
-        # A text that is unlike the head of its bucket meets all of the bucket.
-        apart = heads.join(linked.toDF("head", "rep", "similarity"), ["head", "rep"], "left_anti")
-        stray = crowded.join(apart, ["head", "rep"]).select("bucket", F.col("rep").alias("stray"))
-        rest = (
-            stray.join(crowded.where("rep <> head"), "bucket")
-            .where("stray <> rep")
-            .select(F.least("stray", "rep").alias("a"), F.greatest("stray", "rep").alias("b"))
-            .distinct()
-        )
-        self._links = cut(linked.union(self._verified(rest)))
-        self._components = cut(connected_components(self._links.select("a", "b")))
-
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, similarity) of the pairs that pass by signature and then by their shingles."""
-        signs, shingles = self._near.select("rep", "signature"), self._near.select("rep", "shingles")
-        alike = (
-            pairs.join(signs.toDF("a", "sign_a"), "a")
-            .join(signs.toDF("b", "sign_b"), "b")
-            .where(_agreement("sign_a", "sign_b") >= self._threshold - self._slack)
-            .select("a", "b")
-        )
-        return (
-            alike.join(shingles.toDF("a", "set_a"), "a")
-            .join(shingles.toDF("b", "set_b"), "b")
-            .select("a", "b", shared("set_a", "set_b").alias("similarity"))
-            .where(F.col("similarity") >= self._threshold)
-        )
+        self._signs = cut(own.select("rep", "signature").join(self._crowded.select("rep").distinct(), "rep", "left_semi"))
+        alike = cut(self._alike_in_buckets())
+        self._shingles = cut(detail(alike.select(F.explode(F.array("a", "b")).alias("rep")).distinct()))
+        self._links = cut(self._verified(alike))
+        same_key = members.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last")
+        edges = self._links.select("a", "b").union(members.join(same_key.select("key", "a"), "key").select("a", F.col("rep").alias("b")))
+        self._components = cut(connected_components(edges))
+
+    def _alike_in_buckets(self) -> DataFrame:
+        """(a, b), a < b: pairs alike by signature that connect what is alike in any bucket."""
+        pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+        sure = F.col("agreement") >= self._threshold + self._slack / 2
+        crowded = self._crowded.where("rep <> head")
+        first = cut(self._alike(crowded.select(*pair("head", "rep")).distinct()))
+        found = first.where(sure).select(F.col("a").alias("head"), F.col("b").alias("rep"))
+        # Texts that are not surely like the head of their bucket.
+        stray = cut(crowded.join(found, ["head", "rep"], "left_anti").select("bucket", "rep"))
+        second = stray.groupBy("bucket").agg(F.min("rep").alias("second"))
+        others = crowded.join(second, "bucket").where("rep <> second").select("bucket", "second", "rep")
+        again = cut(self._alike(others.select(*pair("second", "rep")).distinct()))
+        close = again.where(sure).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
+        close = close.select(F.col("p.a").alias("second"), F.col("p.b").alias("rep"), F.lit(True).alias("near"))
+        placed = others.join(close, ["second", "rep"], "left").select("bucket", "rep", F.coalesce("near", F.lit(False)).alias("near"))
+        # Two that are both near the second head are connected through it.
+        left = placed.join(stray, ["bucket", "rep"], "left_semi").toDF("bucket", "x", "near_x")
+        rest = left.join(placed.toDF("bucket", "y", "near_y"), "bucket").where("x <> y and not (near_x and near_y)").select(*pair("x", "y")).distinct()
+        return first.union(again).union(self._alike(rest)).select("a", "b").distinct()
+
+    def _alike(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, agreement) of the pairs (a, b) that may reach the threshold by their signatures."""
+        met = pairs.join(self._signs.toDF("a", "sign_a"), "a").join(self._signs.toDF("b", "sign_b"), "b")
+        return met.select("a", "b", _agreement("sign_a", "sign_b").alias("agreement")).where(F.col("agreement") >= self._threshold - self._slack)
+
+    def _verified(self, alike: DataFrame) -> DataFrame:
+        """(a, b, similarity) of the pairs that reach the threshold by their shingles."""
+        met = alike.join(self._shingles.toDF("a", "set_a"), "a").join(self._shingles.toDF("b", "set_b"), "b")
+        return met.select("a", "b", shared("set_a", "set_b").alias("similarity")).where(F.col("similarity") >= self._threshold)
 
     @property
     def classes(self) -> DataFrame:
-        known = self._components.toDF("rep", "class_id")
-        return self.members.join(known, "rep", "left").select("key", F.coalesce("class_id", "rep").alias("class_id"))
+        rows = self.members.join(self._components.toDF("rep", "class"), "rep", "left").select("key", F.coalesce("class", "rep").alias("class"))
+        named = rows.groupBy("class").agg(F.min("key").alias("class_id"))
+        return rows.distinct().join(named, "class").select("key", "class_id")
 
     @property
     def pairs(self) -> DataFrame:
-        """Every pair inside a class is checked; copies of a text are pairs too."""
-        classed = self._components.toDF("rep", "class_id").join(self._near, "rep")
-        a, b = (classed.toDF(f"rep_{x}", "class_id", f"sign_{x}", f"set_{x}") for x in "ab")
-        near = (
-            a.join(b, "class_id")
-            .where(F.col("rep_a") < F.col("rep_b"))
-            .where(_agreement("sign_a", "sign_b") >= self._threshold - self._slack)
-            .select("rep_a", "rep_b", shared("set_a", "set_b").alias("similarity"))
-            .where(F.col("similarity") >= self._threshold)
-        )
+        """Every pair of a class that shares a bucket is checked; copies of a text are pairs too.
+
+        Candidates are numbers of sets only; signatures are fetched for those that no link has settled, shingles for
+        those that pass by signature.
+        """
+        classed = self._crowded.join(self._components.toDF("rep", "class"), "rep").select("bucket", "class", "rep")
+        met = classed.toDF("bucket", "class", "a").join(classed.toDF("bucket", "class", "b"), ["bucket", "class"]).where("a < b").select("a", "b").distinct()
+        more = self._alike(met.join(self._links.select("a", "b"), ["a", "b"], "left_anti"))
+        near = self._links.union(self._verified(more.select("a", "b")))
         m = self.members
-        between = near.join(m.toDF("x", "rep_a"), "rep_a").join(m.toDF("y", "rep_b"), "rep_b").select("x", "y", "similarity")
+        between = near.join(m.toDF("x", "a"), "a").join(m.toDF("y", "b"), "b").select("x", "y", "similarity")
         within = m.toDF("x", "rep").join(m.toDF("y", "rep"), "rep").where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
-        return between.union(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
+        named = between.where("x <> y").union(within).groupBy(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+        return named.agg(F.max("similarity").alias("similarity"))
 
 
 def near_duplicates(
@@ -194,19 +228,27 @@ def near_duplicates(
     """Group records whose word shingles overlap by at least ``threshold``, without comparing all pairs.
 
     Words are runs of letters and digits in canonical lower-case text. Rows with a null key, a null text or a text
-    without a word are left out. Of several rows with one key the smallest text by shingle set counts. A text shorter
-    than ``width`` words is one shingle. Other columns of ``df`` are ignored, whatever their names. An empty table
-    gives empty results.
+    without a word are left out. Of several rows with one key every different text counts, as that key's. A text
+    shorter than ``width`` words is one shingle. Other columns of ``df`` are ignored, whatever their names. An empty
+    table gives empty results. ``df`` is read twice.
 
     With 50 bands of 5 minima a pair at 0.7 is missed with probability 0.0001, at 0.8 with less than 1e-8, and a pair
     at 0.1 is compared with probability 0.0005. ``slack`` (0.12, four standard errors of the estimate) keeps pairs
-    whose estimate falls short by chance; the check on the shingles themselves follows.
+    whose estimate falls short by chance, and an estimate half as much over the threshold is taken for sure where a
+    text need not meet the rest of its bucket; the check on the shingles themselves follows. ``pairs`` has as many rows as
+    there are pairs, so that a class of m copies gives m * (m - 1) / 2; ``classes`` grows with the keys only.
     """
-    rows_in = sketch(df, key, text, width, bands, rows, seed)
-    # A set's name: two independent hashes of it.
-    named = cut(rows_in.withColumn("set_id", F.concat_ws("-", F.xxhash64("shingles"), F.hash("signature"), F.size("shingles"))))
-    one = named.groupBy("key").agg(F.min("set_id").alias("set_id"))
-    heads = one.groupBy("set_id").agg(F.min("key").alias("rep"))
-    members = cut(one.join(heads, "set_id").select("key", "rep"))
-    sets = named.drop("key").dropDuplicates(["set_id"]).join(heads, "set_id").drop("set_id")
-    return NearDuplicates(cut(sets), members, threshold, slack=4 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5)
+    # Numbers of rows, stored: they stay the same. A set goes by the smallest number of its rows.
+    named = cut(sketch(df, key, text, width, bands, rows, seed).withColumn("row", F.monotonically_increasing_id()))
+    first = named.groupBy("set_id").agg(F.min(F.struct("row", "key")).alias("first"))
+    sets = cut(first.select("set_id", F.col("first.row").alias("rep"), F.col("first.key").alias("of")))
+    members = cut(named.select("key", "set_id").distinct().join(sets.select("set_id", "rep"), "set_id").select("key", "rep"))
+
+    def detail(wanted: DataFrame) -> DataFrame:
+        """(rep, shingles) of the wanted sets, from one row of each."""
+        asked = sets.join(wanted, "rep")
+        own = df.select(F.col(key).cast("string").alias("key"), text.alias("text")).join(asked.select(F.col("of").alias("key")).distinct(), "key", "left_semi")
+        made = _sketched(own, "key", F.col("text"), "key string, set_id binary, shingles array<bigint>", width, lambda s: [s.view(np.int64)])
+        return made.join(asked.select("rep", F.col("of").alias("key"), "set_id"), ["key", "set_id"]).dropDuplicates(["rep"]).select("rep", "shingles")
+
+    return NearDuplicates(named, sets, members, detail, threshold, slack=4 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5)

@@ -70,3 +70,25 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "x int, y int")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 200: 100} | {300 + i: 300 for i in range(40)}
     assert connected_components(spark.createDataFrame([], "x int, y int")).count() == 0
+
+
+def test_class_of_some_thousand_members(spark):
+    """Near copies in great number, and one text that heads their buckets without being like them."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    texts = {}
+    for i in range(2000):
+        words = list(base)
+        words[rng.randrange(300)] = f"x{i}"
+        texts[f"m{i:04}"] = " ".join(words)
+    texts["a"] = " ".join(base[:150] + [f"y{i}" for i in range(150)])
+    found = near_duplicates(frame(spark, texts), "_id", F.col("text"))
+    sizes = sorted(r["count"] for r in found.classes.groupBy("class_id").count().collect())
+    assert sizes == [1, 2000]
+
+
+def test_key_with_two_texts(spark):
+    rows = [("k", "một hai ba bốn năm sáu"), ("k", "bảy tám chín mười trăm nghìn"), ("a", "một hai ba bốn năm sáu"), ("z", "bảy tám chín mười trăm nghìn"), ("o", "chín mươi chín con mèo")]
+    found = near_duplicates(spark.createDataFrame(rows, "_id string, text string"), "_id", F.col("text"))
+    assert {r.key: r.class_id for r in found.classes.collect()} == {"k": "a", "a": "a", "z": "a", "o": "o"}
+    assert {(r.id_a, r.id_b) for r in found.pairs.collect()} == {("a", "k"), ("k", "z")}
