@@ -1,9 +1,10 @@
 """Broken prompt and response pairs (problem 4).
 
 Each answer gets the first defect that applies: ``empty``, ``refusal``, ``copied``, ``other_language``, ``truncated``.
-Languages come from character-trigram naive Bayes: the answer's posterior is compared with the prompt's. Truncation comes
-from end-of-text n-gram likelihood: how often the last words of an answer end a sentence anywhere in the answers,
-together with the mark the answer ends in.
+Refusals come from naive Bayes over word n-grams, learnt from what is answered where there is no gold. Languages come
+from character-trigram naive Bayes: the answer's posterior is compared with the prompt's. Truncation comes from end-of-text
+n-gram likelihood: how often a sentence ends after the last words of an answer anywhere inside the answers, together
+with the mark the answer ends in, whose weight is learnt from all answers.
 """
 
 from __future__ import annotations
@@ -36,9 +37,10 @@ LIST_MARK = re.compile(r"(?:^|\s)(?:[a-zđ]|\d{1,2})[.)]$|(?:^|\n)\s*[-•*]$")
 ANNOUNCED = re.compile(r"\b(?:có|gồm|là|sau) (hai|ba|bốn|năm|[2-9]) [^.:\n]{2,40}:", re.IGNORECASE)
 ITEM = re.compile(r"(?:^|\s)(?:[a-zđ]|\d{1,2})\)")
 NUMBERS = {"hai": 2, "ba": 3, "bốn": 4, "năm": 5}
-MOST = 5  # words of context at the end
+MOST = 8  # words of context at the end, the start of the sentence counted as one
+START = "<s>"
 
-# Ways of declining, in lower case without accents.
+# Well-known ways of declining, in lower case without accents; one feature of those that are learnt.
 DECLINES = re.compile(
     "|".join(
         (
@@ -253,26 +255,38 @@ def _key(words: list[str]) -> int:
     return xxhash.xxh64_intdigest(" ".join(words)) - 2**63
 
 
+def sentence_words(words: list[str]) -> list[str]:
+    """The last words of a sentence, its start among them where they reach it."""
+    return [START, *words][-MOST:]
+
+
 def end_events(text: str) -> Iterator[tuple[list[str], bool]]:
-    """(last words up to a place, whether a sentence ends there) over the text, but for a last place left open."""
+    """(last words up to a place, whether a sentence ends there) over the text.
+
+    Its own last place is an end if a full stop is there; otherwise it is left open, for that is what is asked.
+    """
     body = CITATION.sub("", text)
     at = 0
-    stops = [m.start() for m in SENTENCE_END.finditer(body)]
-    for stop in [*stops, len(body)]:
+    stopped = last_mark(text) == "stop"
+    last = len(body.rstrip().rstrip(CLOSERS + ".!? "))
+    for stop in [*(m.start() for m in SENTENCE_END.finditer(body)), len(body)]:
         words = WORDS.findall(body[at:stop].lower())
-        ends = stop < len(body)
-        for i in range(len(words) if ends else len(words) - 1):
-            yield words[max(0, i + 1 - MOST) : i + 1], ends and i == len(words) - 1
+        ends = stop < last
+        for i in range(len(words) if ends or stopped else len(words) - 1):
+            yield sentence_words(words[: i + 1]), (ends or stopped) and i == len(words) - 1
         at = stop + 1
 
 
 def end_counts(answers: DataFrame) -> DataFrame:
-    """(key, n, ends) over every run of one to five words of all answers; counted in each batch before the shuffle."""
+    """(key, n, ends) over every run of up to MOST words of all answers; counted in each task before the shuffle."""
+
+    def rows(n: Counter, ends: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(n.values(), pa.int64()), pa.array([ends[k] for k in n], pa.int64())], ["key", "n", "ends"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        ends: Counter = Counter()
         for batch in batches:
-            n: Counter = Counter()
-            ends: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 for words, end in end_events(visible(text)):
                     for k in range(1, len(words) + 1):
@@ -280,16 +294,47 @@ def end_counts(answers: DataFrame) -> DataFrame:
                         n[run] += 1
                         if end:
                             ends[run] += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(n, pa.int64()), pa.array(n.values(), pa.int64()), pa.array([ends[k] for k in n], pa.int64())], ["key", "n", "ends"]
-            )
+            if len(n) > 500_000:  # what a task holds is bounded
+                yield rows(n, ends)
+                n, ends = Counter(), Counter()
+        yield rows(n, ends)
 
     counted = answers.select("answer").where("answer is not null").mapInArrow(count, "key bigint, n bigint, ends bigint")
     return counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
 
 
-#: How the mark at the end speaks for an end, in natural logarithms of odds: fixed values.
-MARKS = {"stop": 12.0, "citation": 9.0, "bare": -3.0, "hanging": -8.0}
+#: What is believed of whole and of broken-off answers before any is read, in numbers of answers by the mark they end in.
+WHOLE = {"stop": 20.0, "citation": 5.0, "bare": 0.05, "hanging": 0.02}
+BROKEN = {"stop": 0.02, "citation": 0.2, "bare": 5.0, "hanging": 4.0}
+USUAL_END = 0.05  # share of places in a text at which a sentence ends, before any text is read
+OFTEN = 5  # times that words must have been seen to speak for themselves
+
+
+def end_chance(n, ends):
+    """How likely a sentence ends after words seen ``n`` times, ``ends`` times at the end of one."""
+    return (ends + 2 * USUAL_END) / (n + 2)
+
+
+def mark_weights(rows: list[tuple[str, float, int]], rounds: int = 30) -> dict[str, float]:
+    """For each last mark the log odds that an answer with it is whole, before its words are looked at.
+
+    ``rows``: (mark, log likelihood ratio of the last words, number of answers). Whether an answer is whole is not known;
+    expectation and maximization in turn find how often whole and broken-off answers end in each mark.
+    """
+
+    def weights(whole: dict[str, float], broken: dict[str, float]) -> dict[str, float]:
+        most, least = sum(whole.values()), sum(broken.values())
+        return {m: math.log(whole[m] / most) - math.log(broken[m] / least) + math.log(most / least) for m in WHOLE}
+
+    found = weights(WHOLE, BROKEN)
+    for _ in range(rounds):
+        whole, broken = dict(WHOLE), dict(BROKEN)
+        for mark, words, n in rows:
+            share = 1 / (1 + math.exp(-max(-500.0, min(500.0, found[mark] + words))))
+            whole[mark] += n * share
+            broken[mark] += n * (1 - share)
+        found = weights(whole, broken)
+    return found
 
 
 def last_mark(text: str) -> str:
@@ -318,25 +363,108 @@ def list_breaks_off(text: str) -> bool:
     return False
 
 
-def defects(answers: DataFrame, languages: Languages, *, margin: float = 3.0) -> DataFrame:
+def ending(text: str) -> list[int]:
+    """Keys of the last one, two, ... words of an answer's last sentence."""
+    bare = CITATION.sub(" ", text).rstrip().rstrip(CLOSERS + ".!?…:;,([“‘«-–/ ")
+    words = sentence_words(WORDS.findall(SENTENCE_END.split(bare)[-1].lower()))
+    return [_key(words[-k:]) for k in range(1, len(words) + 1)]
+
+
+# Refusals
+
+
+def decline_grams(text: str) -> set[str]:
+    """Runs of one to three words of a text without citations, with its start and end."""
+    words = ["<s>", *WORDS.findall(text.lower()), "</s>"]
+    return {" ".join(words[i : i + k]) for k in (1, 2, 3) for i in range(len(words) - k + 1)} - {"<s>", "</s>"}
+
+
+USUAL = 50.0
+EFFECT = 3.0
+
+
+class Declining:
+    """Naive Bayes of refusals: n-grams of what is said without gold against those of what is said with gold.
+
+    Without gold a refusal is the right answer and with gold it is rare, so that what tells the two apart is the wording of
+    refusals. Matching a well-known way of declining is one feature more, with some weight of its own where few
+    answers have been read.
+    """
+
+    def __init__(self, counts: dict[str, tuple[int, int]], matches: tuple[int, int], sizes: tuple[int, int]):
+        """(without gold, with gold): answers that hold each n-gram, that match a known way, and in all."""
+        none, some = sizes
+        self.prior = math.log((none + 1) / (some + 6))
+        rate = lambda hits, of, usual, weight: (hits + usual * weight) / (of + weight)
+        share = (none + 1) / (none + some + 7)
+        self.logs = {}
+        for gram, (a, b) in counts.items():
+            # What few answers hold says little: as if USUAL more held it, with and without gold as all answers are.
+            self.logs[gram] = math.log((a + USUAL * share) / (none + 1)) - math.log((b + USUAL * (1 - share)) / (some + 6))
+        p, q = rate(matches[0], none, 0.8, 50), rate(matches[1], some, 0.03, 50)
+        self.known, self.unknown = math.log(p / q), math.log((1 - p) / (1 - q))
+
+    def score(self, text: str) -> float:
+        """Log odds that a text without reasoning and citations declines.
+
+        The n-grams of a text overlap; together they weigh as much as EFFECT independent ones.
+        """
+        grams = decline_grams(text)
+        mean = sum(self.logs.get(g, 0.0) for g in grams) / max(1, len(grams))
+        return self.prior + (self.known if declines(text) else self.unknown) + EFFECT * mean
+
+
+def train_declining(answers: DataFrame, *, per_class: int = 4000, least: int = 3) -> Declining:
+    """Fitted on at most ``per_class`` answers with gold and as many without, the first by a hash of their place.
+
+    N-grams that fewer than ``least`` of these answers hold are not used. What comes to the driver are the counts of that
+    bounded sample.
+    """
+    rows = answers.select("has_gold", "answer", F.xxhash64("src", "line_no").alias("h")).where("answer is not null and has_gold is not null")
+    sample = rows.withColumn("n", F.row_number().over(W.partitionBy("has_gold").orderBy("h"))).where(F.col("n") <= per_class)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list[int]] = {}
+        for batch in batches:
+            for gold, answer in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = CITATION.sub(" ", visible(answer))
+                if not WORDS.search(text):
+                    continue
+                for gram in (*decline_grams(text), "<all>", *(["<known>"] if declines(text) else [])):
+                    found.setdefault(gram, [0, 0])[gold] += 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(found), pa.string()), pa.array([n for n, _ in found.values()], pa.int64()), pa.array([n for _, n in found.values()], pa.int64())],
+            ["gram", "without", "with"],
+        )
+
+    counted = sample.select("has_gold", "answer").mapInArrow(count, "gram string, without bigint, with bigint").groupBy("gram")
+    held = counted.agg(F.sum("without").alias("a"), F.sum("with").alias("b")).where(f"a + b >= {least} or gram like '<%>'")
+    counts = {r.gram: (r.a, r.b) for r in held.collect()}
+    sizes, known = counts.pop("<all>", (0, 0)), counts.pop("<known>", (0, 0))
+    return Declining(counts, known, sizes)
+
+
+def defects(answers: DataFrame, languages: Languages, *, margin: float = 3.0, use_words: bool = True) -> DataFrame:
     """(src, line_no, defect): the answers that have a defect, each with the first that applies.
 
     ``answers``: (src, line_no, question, answer, has_gold). A null or absent answer is ``empty``. A refusal without
     gold is no defect of any kind. A null or empty question can neither be copied nor give a language. Repeated rows and
-    rows that share (src, line_no) count each on their own; an empty table gives none.
+    rows that share (src, line_no) count each on their own; an empty table gives none. ``use_words`` false leaves the
+    likelihood of the last words out, for comparison.
     """
     rows = cut(answers.select("src", "line_no", "question", "answer", "has_gold"))
-    schema = "src string, line_no bigint, defect string, mark double, keys array<bigint>"
+    declining = train_declining(rows)
+    schema = "src string, line_no bigint, defect string, mark string, keys array<bigint>"
 
-    def judge(question: str | None, answer: str | None, has_gold: bool | None) -> tuple[str | None, float, list[int]]:
+    def judge(question: str | None, answer: str | None, has_gold: bool | None) -> tuple[str | None, str | None, list[int]]:
         text = visible(answer) if answer else ""
         bare = CITATION.sub(" ", text).replace("<think>", " ")
         if not WORDS.search(bare):
-            return "empty", 0.0, []
-        if declines(bare):
-            return ("refusal" if has_gold else None), 0.0, []
+            return "empty", None, []
+        if declining.score(bare) > 0:
+            return ("refusal" if has_gold else None), None, []
         if question and copies(bare, question):
-            return "copied", 0.0, []
+            return "copied", None, []
         if question:
             put = canonical_text(question)
             q, a = languages.scores(put), languages.scores(bare)
@@ -345,14 +473,10 @@ def defects(answers: DataFrame, languages: Languages, *, margin: float = 3.0) ->
                 best = max(a, key=a.get)
                 other = languages.other_script(put, bare, asked)
                 if other or (other is False and best != asked and a[best] - a[asked] > margin):
-                    return "other_language", 0.0, []
+                    return "other_language", None, []
         if "<think>" in text or list_breaks_off(text):
-            return "truncated", 0.0, []
-        mark = last_mark(text)
-        if mark in ("stop", "hanging"):
-            return (None if mark == "stop" else "truncated"), 0.0, []
-        words = WORDS.findall(SENTENCE_END.split(bare.rstrip().rstrip(CLOSERS + ".!? "))[-1].lower())[-MOST:]
-        return None, MARKS[mark], [_key(words[-k:]) for k in range(1, len(words) + 1)]
+            return "truncated", None, []
+        return None, last_mark(text), ending(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,7 +484,7 @@ def defects(answers: DataFrame, languages: Languages, *, margin: float = 3.0) ->
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array([d for d, _, _ in out], pa.string()),
-                    pa.array([m for _, m, _ in out], pa.float64()), pa.array([k for _, _, k in out], pa.list_(pa.int64())),
+                    pa.array([m for _, m, _ in out], pa.string()), pa.array([k for _, _, k in out], pa.list_(pa.int64())),
                 ],
                 ["src", "line_no", "defect", "mark", "keys"],
             )
@@ -368,16 +492,23 @@ def defects(answers: DataFrame, languages: Languages, *, margin: float = 3.0) ->
     # A number for each row; stored, so that it stays the same.
     judged = cut(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
     certain = judged.where("defect is not null").select("src", "line_no", "defect")
-    # Likelihood of an end after the last k words, each backed off to the one after k - 1.
-    asked = judged.where("defect is null and size(keys) > 0").select("row", "src", "line_no", "mark", F.posexplode("keys").alias("k", "key"))
+    # Likelihood of an end after the most of the last words that are often seen.
+    asked = judged.where("mark is not null").select("row", "src", "line_no", "mark", F.posexplode_outer("keys").alias("k", "key"))
     wanted = asked.select("key").distinct()
     counts = end_counts(rows).join(wanted, "key")
     seen = asked.join(counts, "key", "left").groupBy("row", "src", "line_no", "mark").agg(
         F.array_sort(F.collect_set(F.struct("k", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ends", F.lit(0)).alias("ends")))).alias("runs")
     )
-    chance = F.aggregate("runs", F.lit(0.03).cast("double"), lambda p, r: (r["ends"] + 2 * p) / (r["n"] + 2))
-    open_end = seen.withColumn("p", chance).where(F.log(F.col("p") / (1 - F.least("p", F.lit(1 - 1e-9)))) + F.col("mark") < 0)
-    return certain.union(open_end.select("src", "line_no", F.lit("truncated").alias("defect")))
+    # An answer that ends in a full stop does not speak for itself.
+    own = F.when(F.col("mark") == "stop", 1).otherwise(0)
+    chance = F.aggregate("runs", F.lit(USUAL_END).cast("double"), lambda p, r: F.when(r["n"] - own >= OFTEN, end_chance(r["n"] - own, r["ends"] - own)).otherwise(p))
+    odds = lambda p: F.log(p / (1 - F.least(p, F.lit(1 - 1e-9))))
+    words = F.round(odds(chance) - math.log(USUAL_END / (1 - USUAL_END)), 1) if use_words else F.lit(0.0)
+    ends = cut(seen.select("src", "line_no", "mark", words.alias("words")))
+    # Four marks and some hundred values.
+    weights = mark_weights([(r.mark, r.words, r.n) for r in ends.groupBy("mark", "words").agg(F.count("*").alias("n")).collect()])
+    weight = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))[F.col("mark")]
+    return certain.union(ends.where(weight + F.col("words") < 0).select("src", "line_no", F.lit("truncated").alias("defect")))
 
 
 def question_of(prompt: Column) -> Column:

@@ -1,6 +1,7 @@
 import pytest
 
-from tessera.llm.answers import CITATION, Languages, answer_rows, copies, declines, defects, last_mark, list_breaks_off, train_languages, trigrams, visible
+from tessera.llm import answers as module
+from tessera.llm.answers import CITATION, Languages, answer_rows, copies, declines, defects, last_mark, list_breaks_off, mark_weights, train_declining, train_languages, trigrams, visible
 
 Q = "Trong trường hợp con dấu bị mất, việc gia hạn hợp đồng lưu kho của chủ tàu cá có cần đăng tải lô hàng sau 12 ngày không?"
 DONE = "Chủ tàu cá phải gia hạn hợp đồng trong 12 ngày [1]. Mức thu là 5.000 đồng cho mỗi lô hàng [2]."
@@ -105,3 +106,45 @@ def test_rows_of_both_tables(spark):
     raw = spark.createDataFrame([(3, [], [("system", "s"), ("user", "CÂU HỎI: q")], [("assistant", "r")]), (4, [1], None, None), (5, [1], [], [("assistant", None)])], f"line_no bigint, gold array<int>, prompt {turn}, completion {turn}")
     got = [tuple(r) for r in answer_rows(gen, raw).orderBy("line_no").collect()]
     assert got == [("generations", 1, "b", "c", True), ("generations", 2, None, None, False), ("sft_raw", 3, "q", "r", False), ("sft_raw", 4, None, None, True), ("sft_raw", 5, None, None, True)]
+
+
+def _languages(spark):
+    docs = [(1, "vi", (Q + " " + DONE) * 3), (2, "en", "The licensing office must check the storage contract in time. " * 5)]
+    return train_languages(spark.createDataFrame(docs, "doc_id bigint, lang string, text string"))
+
+
+def _judged(spark, rows):
+    return spark.createDataFrame(rows, "src string, line_no bigint, question string, answer string, has_gold boolean")
+
+
+def test_last_words_decide(spark):
+    """The same marks at the end: a whole answer without a full stop, and answers that break off before a citation or full stop."""
+    usual = [("s", 100 + i, Q, f"Chủ tàu cá phải gia hạn hợp đồng trong {i} ngày. Việc này do cơ quan cấp phép quyết định. Mức thu là {i} đồng.", True) for i in range(300)]
+    usual += [("s", 1000 + i, Q, f"Mức thu là {i} đồng. Chủ tàu cá phải gia", True) for i in range(12)]
+    rows = [
+        ("s", 1, Q, DONE + " Việc này do cơ quan cấp phép quyết định", True), ("s", 2, Q, DONE + " Chủ tàu cá phải gia [1]", True),
+        ("s", 3, Q, DONE + " Việc này do cơ quan cấp phép quyết định [1]", True),
+    ]
+    found = lambda **how: {r.line_no for r in defects(_judged(spark, rows + usual), _languages(spark), **how).collect() if r.line_no < 100}
+    assert found() == {2}
+    assert found(use_words=False) == {1}
+
+
+def test_mark_weights():
+    got = mark_weights([("stop", 3.0, 900), ("citation", 3.0, 200), ("bare", -4.0, 60), ("hanging", -3.0, 30)])
+    assert got["stop"] > 3 and got["citation"] > 3 and got["bare"] < -3 and got["hanging"] < -3
+    assert min(mark_weights([]).values()) < 0 < max(mark_weights([]).values())
+
+
+def test_refusals_off_the_list_are_learnt(spark, monkeypatch):
+    """Wordings that are held out of the list of known ways are found by what is said where there is no gold."""
+    ways = ["Chúng tôi mạn phép dừng tại đây.", "Câu này xin nhường cho luật sư.", "Nội dung vượt quá tài liệu hiện có."]
+    rows = [("s", i, Q, ways[i % 3], False) for i in range(90)] + [("s", 100 + i, Q, f"Mức thu là {i} đồng mỗi lô hàng. Chủ tàu cá phải gia hạn hợp đồng.", True) for i in range(400)]
+    rows += [("s", 900 + i, Q, w, True) for i, w in enumerate(ways)]
+    assert not any(map(declines, ways))
+    got = {(r.line_no, r.defect) for r in defects(_judged(spark, rows), _languages(spark)).collect()}
+    assert got == {(900 + i, "refusal") for i in range(3)}
+    model = train_declining(_judged(spark, rows), per_class=50)
+    assert all(model.score(w) > 0 for w in ways) and model.score("Mức thu là 5 đồng mỗi lô hàng.") < 0
+    monkeypatch.setattr(module, "declines", lambda text: False)
+    assert all(model.score(w) > 0 for w in ways)
