@@ -1,4 +1,4 @@
-from tessera.llm.reading import count, formulas, is_vietnamese_prose, readable, reading_levels, syllable_weight, train
+from tessera.llm.reading import count, formulas, is_vietnamese_prose, readable, reading_levels, sentences, syllable_weight, train
 
 EASY = "Bạn nhớ mua cuốn vở nhé. Chị gái đã hỏi gian hàng. Ai giữ bộ áo ở xã? Hãy lấy thùng rác. "
 HARD = (
@@ -9,7 +9,7 @@ HARD = (
 
 def test_syllables():
     assert [syllable_weight(w)[0] for w in ("nghieng", "quyen", "a", "window", "parliament")] == [1, 1, 1, 2, 3]
-    assert syllable_weight("nghiêng")[2] and not syllable_weight("strength")[2]
+    assert syllable_weight("nghieng")[2] and not syllable_weight("strength")[2]
     assert syllable_weight("quyen")[1] > syllable_weight("la")[1]
 
 
@@ -27,9 +27,19 @@ def test_what_is_vietnamese_prose():
         assert is_vietnamese_prose(count(text), text) is want, text[:40]
 
 
-def test_formulas_grow_with_hard_words():
-    known = frozenset(count(EASY).words)
-    assert all(h > e for e, h in zip(formulas(count(EASY * 3), known), formulas(count(HARD * 3), known)))
+def test_formulas_grow_with_sentences_and_heavy_words():
+    assert all(h > e for e, h in zip(formulas(count(EASY * 3)), formulas(count(HARD * 3))))
+    light, heavy = count("Ai đi ra xa. Cô ấy về quê. " * 5), count("Người quyết đoán nghiêng xuống. Khuyến khích chuyên quyền. " * 5)
+    assert light.heavy < heavy.heavy and light.weight < heavy.weight
+
+
+def test_sentences():
+    lines = "\n".join("- " + HARD.strip(". ") for _ in range(2))
+    assert sentences(readable(lines)) == 2  # a list without full stops
+    assert sentences(readable(HARD)) == 1  # one sentence of several clauses
+    assert sentences((EASY * 4).replace(".", ",").replace("?", ",").lower()) == 16  # marks lost
+    assert sentences((EASY * 9).replace(".", ",").replace("?", ",")) == 36
+    assert sentences("") == 1 and sentences("Một. Hai! Ba?") == 3
 
 
 def test_levels(spark):
