@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm.packing import ShardIndex, fill, fill_report, pack
+from tessera.llm.packing import WORDS, Centroids, ShardIndex, fill, fill_report, pack
 from tessera.llm.tokens import default_ranks, encoder
 
 ENC = encoder(default_ranks())
@@ -69,3 +69,36 @@ def test_every_row_is_placed(spark):
     assert pack(df.limit(0), "doc_id").count() == 0
     with pytest.raises(ValueError):
         pack(df, "doc_id", capacity=0)
+
+
+def test_retrieval_decides_where_room_is_left():
+    """The best neighbour goes in although larger documents that share nothing would leave less room."""
+    docs = [["đất", "nhà"], *[[f"khác{i}"] for i in range(20)], ["đất", "nhà", "x"], ["đất"]]
+    sizes = np.array([40, *[30] * 10, *[10] * 10, 9, 11])
+    first = fill(sizes, index(docs), 100)[0]
+    assert {first[1], first[2]} == {21, 22}
+
+
+def test_shards_hold_neighbours(spark):
+    """Share of the ten best neighbours by BM25 over all documents that lie in a document's shard, against chance."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 0")
+    texts = {r.doc_id: r.text for r in rows.select("doc_id", "text").collect()}
+    placed = pack(rows, "doc_id", shard_docs=100).where("container is not null").select("doc_id", "container").collect()
+    shard = {r.doc_id: r.container.rpartition("-")[0] for r in placed}
+    ids = sorted(shard)
+    all_docs = index([WORDS.findall(texts[i].lower()) for i in ids])
+    held = []
+    for at in range(0, len(ids), 7):
+        score = all_docs.scores(at)
+        score[at] = -1
+        held += [shard[ids[j]] == shard[ids[at]] for j in np.argsort(-score)[:10]]
+    sizes = np.array([n for n in {s: sum(x == s for x in shard.values()) for s in shard.values()}.values()])
+    chance = float((sizes**2).sum()) / len(ids) ** 2
+    assert sum(held) / len(held) > 2.5 * chance
+
+
+def test_centroids_of_few_documents():
+    none = Centroids(np.zeros((0, 2048), np.float32), 256)
+    assert none.place(np.array([1, 2]), np.array([1.0, 1.0])) == 0
+    one = Centroids(np.eye(16, 2048, dtype=np.float32), 2)
+    assert 0 <= one.place(np.array([1]), np.array([1.0])) < 4
