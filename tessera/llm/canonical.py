@@ -1,7 +1,9 @@
 """One stored form for text that reads the same (problem 5).
 
-A character class that is known to be stable plays the part of a normalization quick check. Only the runs outside
-it, widened to the words around them, are normalized; the canonical segments are spliced into the unchanged text.
+Normalization quick-check properties isolate what may change: a character is stable if it is its own composed form, never
+joins the character before it (NFC_Quick_Check = Yes), has combining class 0 and imitates no other. Stable
+characters in a row stay as they are. Only the runs of others, with the character before them and the words around them as
+boundary context, are normalized; the canonical segments are spliced into the unchanged text.
 
 Canonical form: composed letters (NFC), full-width and half-width forms as ordinary ones, every blank as U+0020,
 every line end as ``\\n``, nothing invisible, and look-alike letters as the Latin letters they imitate. A word that
@@ -15,7 +17,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cache, lru_cache, reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,9 +44,6 @@ LOOK_ALIKE_SIGNS = {
     "\u201a": ",", "\u02bc": "'",
 }
 
-#: Inside of a character class: what canonical text may hold without a closer look.
-STABLE = "\\n\\t -~§°²³½À-ÏÑ-ÖØ-ïñ-öø-ƈƊ-ɏḀ-ỿ–—‘’“”…€"
-UNSTABLE = re.compile(f"[^{STABLE}]+")
 _LETTERS = re.compile(r"(?:[^\W\d_][\u0300-\u036f]*)+")
 _MARKS = re.compile(r"[\u0300-\u036f]")
 
@@ -87,15 +87,52 @@ def _segment(text: str) -> str:
     return unicodedata.normalize("NFC", _LETTERS.sub(_word, unicodedata.normalize("NFD", plain)))
 
 
+# Quick check
+
+_BLOCKS = (range(0x3000), range(0x4E00, 0xA000))  # others get the closer look
+_JVM_BLOCKS = (range(0x250), range(0x1E00, 0x1F00), range(0x2010, 0x2030), range(0x20A0, 0x20D0))
+
+
+@cache
+def _joining() -> frozenset[int]:
+    """Characters that may join the one before them: second parts of composed letters, and vowels and finals of Hangul."""
+    parts = (unicodedata.decomposition(chr(c)).split() for c in range(0x10000))
+    return frozenset(int(p[1], 16) for p in parts if len(p) == 2 and p[0][0] != "<") | {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+
+
+def is_stable(ch: str) -> bool:
+    """Whether a character stays as it is, whatever stands beside it."""
+    return not (unicodedata.combining(ch) or ord(ch) in _joining() or ch in LOOK_ALIKES) and _segment(ch) == ch
+
+
+@cache
+def stable_class(blocks: tuple[range, ...] = _BLOCKS) -> str:
+    """The inside of a regular expression's class of stable characters, derived from the Unicode data."""
+    spans: list[list[int]] = []
+    for c in (c for block in blocks for c in block if is_stable(chr(c))):
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in spans)
+
+
+@cache
+def _unstable() -> re.Pattern:
+    return re.compile(f"[^{stable_class()}]+")
+
+
 def canonical_text(text: str | None) -> str | None:
     """The canonical form of one text."""
     if not text:
         return text
     parts, done = [], 0
-    for m in UNSTABLE.finditer(text):
+    unstable = _unstable()
+    for m in unstable.finditer(text):
         if m.end() <= done:
             continue
         start, end = m.span()
+        start = max(done, start - 1)  # what a mark may join
         while start > done and (text[start - 1].isalnum() or text[start - 1] == "\r"):
             start -= 1
         grown = True
@@ -104,7 +141,7 @@ def canonical_text(text: str | None) -> str | None:
             while end < len(text) and text[end].isalnum():
                 end += 1
                 grown = True
-            if end < len(text) and (more := UNSTABLE.match(text, end)):
+            if end < len(text) and (more := unstable.match(text, end)):
                 end, grown = more.end(), True
         if text[end - 1] == "\r" and text[end : end + 1] == "\n":
             end += 1
@@ -121,12 +158,13 @@ def canonical(texts: pd.Series) -> pd.Series:
 
 def is_unstable(text: Column) -> Column:
     """JVM-side quick check: false only if the text is certainly canonical already."""
-    return text.rlike(f"[^{STABLE}]")
+    return text.rlike(f"[^{stable_class(_JVM_BLOCKS)}]")
 
 
 def canonicalize(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``df`` with the named string columns in canonical form."""
-    return df.withColumns({c: canonical(F.col(c)) for c in columns})
+    """``df`` with the named string columns in canonical form. Rows that pass the quick check in all of them never reach Python."""
+    open_ = reduce(or_, (F.coalesce(is_unstable(F.col(c)), F.lit(False)) for c in columns))
+    return df.where(~open_).union(df.where(open_).withColumns({c: canonical(F.col(c)) for c in columns}))
 
 
 def non_canonical(df: DataFrame, src: str, fields: list[str], key: str = "line_no") -> DataFrame:

@@ -1,10 +1,11 @@
+import re
 import unicodedata
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm.canonical import canonical_text, canonicalize, non_canonical
+from tessera.llm.canonical import _BLOCKS, _JVM_BLOCKS, LOOK_ALIKES, _segment, canonical_text, canonicalize, is_stable, non_canonical, stable_class
 
 CASES = [
     ("Trong trường hợ́p", None), ("trường", "trường"), ("hợp", "hợp"), ("ｋｈôｎｇ？", "không?"),
@@ -57,3 +58,28 @@ def test_columns(spark):
     assert got == [("text", 1, "x​", "x"), ("title", 3, "Ａ", "A"), ("title", 3, "Ａ", "A")]
     assert [r.title for r in canonicalize(df, ["text", "title"]).orderBy("line_no", "title").collect()] == ["½", None, "ok", "A", "A"]
     assert non_canonical(df.limit(0), "t", ["text"]).count() == 0
+
+
+def test_quick_check_follows_the_unicode_properties():
+    """Yes of NFC_Quick_Check: composed alone and after any base letter or mark; combining class 0; no look-alike."""
+    for block in _BLOCKS[:1]:
+        for c in block:
+            if is_stable(ch := chr(c)):
+                assert unicodedata.combining(ch) == 0 and unicodedata.is_normalized("NFC", ch) and ch not in LOOK_ALIKES
+    assert not any(map(is_stable, "\u0301\u1161\u11a8\u09be\u212bОο\u200b\xa0\r"))
+    assert all(map(is_stable, "aĐợ–½Жλ日\n\t"))
+    every = re.compile(f"[{stable_class()}]")
+    assert all(every.match(chr(c)) for block in _JVM_BLOCKS for c in block if re.match(f"[{stable_class(_JVM_BLOCKS)}]", chr(c)))
+
+
+@given(st.text(st.characters(min_codepoint=32, max_codepoint=0x2FFF), max_size=20))
+@settings(max_examples=500, deadline=None)
+def test_stable_characters_stay_in_any_order(text):
+    kept = "".join(filter(is_stable, text))
+    assert unicodedata.normalize("NFC", kept) == kept == canonical_text(kept)
+
+
+@given(st.text(st.sampled_from("=<ab\u0338\u0301\u0323ợοЖ \u200b"), max_size=20))
+@settings(max_examples=500, deadline=None)
+def test_segments_have_boundary_context(text):
+    assert canonical_text(text) == _segment(text)
