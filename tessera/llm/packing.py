@@ -44,15 +44,25 @@ class ShardIndex:
         self.weights = (idf[term] * times * (K1 + 1) / (times + norm[doc]))[order]
         self.starts = np.concatenate([[0], np.cumsum(df)]).astype(np.int64)
         self.terms, self.ends = term, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        # Words of a sixteenth of the documents or more have a row over all documents, which is added up faster.
+        often = np.flatnonzero(df * 16 >= max(self.n, 1))
+        self.row = np.full(len(df), -1)
+        self.row[often] = np.arange(len(often))
+        self.often = np.zeros((len(often), self.n), np.float32)
+        at = self.row[term] >= 0
+        self.often[self.row[term[at]], doc[at]] = (idf[term] * times * (K1 + 1) / (times + norm[doc]))[at]
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document for all distinct words of one document."""
         terms = self.terms[self.ends[seed] : self.ends[seed + 1]]
+        rows = self.row[terms]
+        dense = self.often[rows[rows >= 0]].sum(axis=0)
+        terms = terms[rows < 0]
         if not len(terms):
-            return np.zeros(self.n)
+            return dense
         starts, sizes = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
         at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        return np.bincount(self.docs[at], self.weights[at], self.n)
+        return dense + np.bincount(self.docs[at], self.weights[at], self.n)
 
 
 def fill(sizes: np.ndarray, index: ShardIndex, capacity: int) -> list[list[int]]:
