@@ -1,8 +1,9 @@
-"""BM25 for many queries at once: documents in shards of bounded size, queries streamed past each shard's index.
+"""BM25 for many queries at once over documents in shards of bounded size.
 
-A shard's task first reads its documents and indexes them, then scores one query after another and lets only the best
-k of each go on, so that no row is made for a pair of query and document. Inverse document frequencies come with the
-queries; term frequencies and lengths with the documents.
+Only the best k of each query and shard go on, so that no row is made for a pair of query and document. Queries of a
+checked size go to every task and meet the documents where these are read, so that no document is shuffled; a larger set
+of queries is streamed past each shard's index. Inverse document frequencies come with the queries; term frequencies and
+lengths with the documents.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from tessera.operators.bm25 import FANOUT, K1, B, pooled, query_terms, tokenized
 from tessera.operators.chunking import chunk_articles
 
 SHARD_DOCS, LEAST_DOCS = 8000, 1000
+MOST_TERMS = 1_000_000  # of queries that go to every task: some tens of MB
 SCALE = 10**9  # scores are sums of whole billionths, exact in any order
 RESULT = "query string, doc string, score decimal(20,9)"
 
@@ -48,27 +51,113 @@ class Shard:
         at = np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1])
         parts = np.rint(np.repeat(np.fromiter((w for _, w in known), float, len(known)), sizes) * self.part[at])
         score = np.bincount(self.doc[at], parts, len(self.docs))
-        found = np.flatnonzero(score > 0)
-        if len(found) > k:
-            least = np.partition(score[found], len(found) - k)[len(found) - k]
-            found = found[score[found] >= least]
-        order = found[np.argsort(-score[found], kind="stable")][:k]
-        return order, score[order]
+        return _first(score, k)
 
 
-def search_texts(docs: DataFrame, queries: DataFrame, k: int, *, bigrams: bool = False, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def search_texts(
+    docs: DataFrame, queries: DataFrame, k: int, *, bigrams: bool = False, shard_docs: int = SHARD_DOCS, stored: bool = False, most_terms: int = MOST_TERMS
+) -> DataFrame:
     """(query, doc, score, rank): the best ``k`` of (doc, text) for each of (query, text), as the join over postings gives.
 
-    Documents are tokenized once and stored in the shared folder; document frequency and length cover them all. The one
-    row of statistics fixes the number of shards. A query's terms go to every shard.
+    Document frequency and length cover all documents. ``docs`` is stored in the shared folder unless the caller says that
+    it is ``stored``. Queries of at most ``most_terms`` terms in all go to every task; more are shuffled to shards. Null keys
+    are left out, null texts have no term.
     """
-    tokens = cut(tokenized(docs.select(F.col("doc").cast("string").alias("doc"), "text"), "doc", "text", bigrams).where("doc is not null"))
+    docs = docs.select(F.col("doc").cast("string").alias("doc"), "text").where("doc is not null")
+    docs = docs if stored else cut(docs)
+    asked = query_terms(queries.select(F.col("query").cast("string").alias("query"), "text"), "query", "text", bigrams).where("query is not null")
+    held = asked.limit(most_terms + 1).toArrow()
+    if len(held) > most_terms:
+        return _search_shards(docs, asked, k, bigrams, shard_docs)
+    names = held.column("query").combine_chunks().dictionary_encode()
+    terms = held.column("term").combine_chunks().dictionary_encode()
+    vocabulary, tokens = terms.dictionary, tokenized(docs, "doc", "text", bigrams)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Document frequency of each asked term; documents and their tokens under -1 and -2."""
+        df, docs_in, tokens_in = np.zeros(len(vocabulary), np.int64), 0, 0
+        for batch in batches:
+            pair = _asked_pairs(batch.column(1), vocabulary)[0]
+            df += np.bincount(pair[:, 0], minlength=len(vocabulary))
+            docs_in += len(batch)
+            tokens_in += len(batch.column(1).flatten())
+        found = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([*found.tolist(), -1, -2], pa.int32()), pa.array([*df[found].tolist(), docs_in, tokens_in], pa.int64())], ["term", "n"])
+
+    # As many rows as there are asked terms.
+    counted = {r.term: r.n for r in tokens.mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n_docs = counted.pop(-1, 0)
+    avg_len = max(counted.pop(-2, 0) / max(n_docs, 1), 1e-9)
+    df = np.zeros(len(vocabulary))
+    df[list(counted)] = list(counted.values())
+    idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+    order = np.argsort(names.indices.to_numpy(), kind="stable")
+    of_query = np.split(terms.indices.to_numpy()[order], np.cumsum(np.bincount(names.indices.to_numpy(), minlength=len(names.dictionary)))[:-1])
+    ids = names.dictionary.to_pylist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= shard_docs:
+                yield _best_of(held, vocabulary, idf, avg_len, ids, of_query, k)
+                held = []
+        if held:
+            yield _best_of(held, vocabulary, idf, avg_len, ids, of_query, k)
+
+    scored = tokens.mapInArrow(run, "query string, doc string, score decimal(20,0)").withColumn("score", (F.col("score") / F.lit(SCALE)).cast("decimal(20,9)"))
+    return top(scored, k)
+
+
+def _asked_pairs(tokens: pa.ListArray, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(asked term, document) pairs that occur, how often each does, and the length of each document."""
+    sizes = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = pc.fill_null(pc.index_in(tokens.flatten(), vocabulary), -1).to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    key, tf = np.unique((codes * max(len(sizes), 1) + doc)[codes >= 0], return_counts=True)
+    return np.stack(np.divmod(key, max(len(sizes), 1)), axis=1), tf, sizes
+
+
+def _best_of(held: list[pa.RecordBatch], vocabulary: pa.Array, idf: np.ndarray, avg_len: float, ids: list[str], of_query: list[np.ndarray], k: int) -> pa.RecordBatch:
+    """The best ``k`` of one shard for every query, ties by key."""
+    table = pa.Table.from_batches(held).sort_by("doc").combine_chunks()
+    docs = table.column("doc").to_pylist()
+    pairs, tf, sizes = _asked_pairs(table.column("tokens").combine_chunks(), vocabulary)
+    term, doc = pairs[:, 0], pairs[:, 1]
+    starts = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+    parts = np.rint(idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / avg_len)) * SCALE))
+    out: tuple[list, list, list] = ([], [], [])
+    for query, terms in zip(ids, of_query):
+        at = np.concatenate([np.arange(starts[t], starts[t + 1]) for t in terms]) if len(terms) else np.empty(0, np.int64)
+        places, scores = _first(np.bincount(doc[at], parts[at], len(docs)), k)
+        out[0].extend([query] * len(places))
+        out[1].extend(docs[p] for p in places)
+        out[2].append(scores.astype(np.int64))
+    score = pa.array(np.concatenate(out[2]) if out[2] else [], pa.int64()).cast(pa.decimal128(20, 0))
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), score], ["query", "doc", "score"])
+
+
+def _first(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the ``k`` largest positive scores, the first place on ties."""
+    found = np.flatnonzero(score > 0)
+    if len(found) > k:
+        least = np.partition(score[found], len(found) - k)[len(found) - k]
+        found = found[score[found] >= least]
+    order = found[np.argsort(-score[found], kind="stable")][:k]
+    return order, score[order]
+
+
+def _search_shards(docs: DataFrame, asked: DataFrame, k: int, bigrams: bool, shard_docs: int) -> DataFrame:
+    """The same for a set of queries of any size: their terms are shuffled to every shard.
+
+    Documents are tokenized once and stored in the shared folder. The one row of statistics fixes the number of shards.
+    """
+    tokens = cut(tokenized(docs, "doc", "text", bigrams))
     stats = tokens.agg(
         F.count("*").alias("n_docs"), F.greatest(F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)), F.lit(1e-9)).alias("avg_len"),
         # A few shards even for few documents, so that they keep several tasks busy.
         F.greatest(F.ceil(F.count("*") / F.least(F.lit(shard_docs), F.greatest(F.lit(LEAST_DOCS), F.count("*") / 8))), F.lit(1)).cast("int").alias("shards"),
     )
-    asked = query_terms(queries.select(F.col("query").cast("string").alias("query"), "text"), "query", "text", bigrams).where("query is not null")
     df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = F.col("n_docs")
     weighed = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query", "term", "shards", "avg_len", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
