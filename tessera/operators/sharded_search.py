@@ -8,11 +8,13 @@ lengths with the documents.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ from tessera.operators.chunking import chunk_articles
 SHARD_DOCS, LEAST_DOCS = 8000, 1000
 MOST_TERMS = 1_000_000  # of queries that go to every task: some tens of MB
 SCALE = 10**9  # scores are sums of whole billionths, exact in any order
-RESULT = "query string, doc string, score decimal(20,9)"
+WORDS = re.compile(r"\w+")  # letters, numbers and underscores, as functions.text.words
 
 
 class Shard:
@@ -54,43 +56,44 @@ class Shard:
         return _first(score, k)
 
 
-def search_texts(
-    docs: DataFrame, queries: DataFrame, k: int, *, bigrams: bool = False, shard_docs: int = SHARD_DOCS, stored: bool = False, most_terms: int = MOST_TERMS
-) -> DataFrame:
+def search_texts(docs: DataFrame, queries: DataFrame, k: int, *, bigrams: bool = False, shard_docs: int = SHARD_DOCS, most_terms: int = MOST_TERMS) -> DataFrame:
     """(query, doc, score, rank): the best ``k`` of (doc, text) for each of (query, text), as the join over postings gives.
 
-    Document frequency and length cover all documents. ``docs`` is stored in the shared folder unless the caller says that
-    it is ``stored``. Queries of at most ``most_terms`` terms in all go to every task; more are shuffled to shards. Null keys
-    are left out, null texts have no term.
+    Document frequency and length cover all documents. Documents are read once; what is stored in the shared folder are the
+    counts of asked terms in each. Queries of at most ``most_terms`` terms in all go to every task; more are shuffled to
+    shards. Null keys are left out, null texts have no term.
     """
     docs = docs.select(F.col("doc").cast("string").alias("doc"), "text").where("doc is not null")
-    docs = docs if stored else cut(docs)
     asked = query_terms(queries.select(F.col("query").cast("string").alias("query"), "text"), "query", "text", bigrams).where("query is not null")
     held = asked.limit(most_terms + 1).toArrow()
     if len(held) > most_terms:
         return _search_shards(docs, asked, k, bigrams, shard_docs)
     names = held.column("query").combine_chunks().dictionary_encode()
     terms = held.column("term").combine_chunks().dictionary_encode()
-    vocabulary, tokens = terms.dictionary, tokenized(docs, "doc", "text", bigrams)
+    vocabulary = {t: i for i, t in enumerate(terms.dictionary.to_pylist())}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Document frequency of each asked term; documents and their tokens under -1 and -2."""
-        df, docs_in, tokens_in = np.zeros(len(vocabulary), np.int64), 0, 0
         for batch in batches:
-            pair = _asked_pairs(batch.column(1), vocabulary)[0]
-            df += np.bincount(pair[:, 0], minlength=len(vocabulary))
-            docs_in += len(batch)
-            tokens_in += len(batch.column(1).flatten())
-        found = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([*found.tolist(), -1, -2], pa.int32()), pa.array([*df[found].tolist(), docs_in, tokens_in], pa.int64())], ["term", "n"])
-
-    # As many rows as there are asked terms.
-    counted = {r.term: r.n for r in tokens.mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n_docs = counted.pop(-1, 0)
-    avg_len = max(counted.pop(-2, 0) / max(n_docs, 1), 1e-9)
+            sizes, own, times = [], [], []
+            for text in batch.column(1).to_pylist():
+                tokens = WORDS.findall(normalize("NFC", text or "").lower())
+                if bigrams:
+                    tokens += ["_".join(pair) for pair in zip(tokens, tokens[1:])]
+                sizes.append(len(tokens))
+                found = Counter(map(vocabulary.get, tokens))
+                found.pop(None, None)
+                own.append([*found])
+                times.append([*found.values()])
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(own, ints), pa.array(times, ints)], ["doc", "size", "terms", "times"])
+
+    counted = cut(docs.mapInArrow(count, "doc string, size int, terms array<int>, times array<int>"))
+    stats = counted.agg(F.count("*").alias("n"), F.avg("size").alias("avg_len")).first()
+    avg_len = max(stats.avg_len or 0.0, 1e-9)
     df = np.zeros(len(vocabulary))
-    df[list(counted)] = list(counted.values())
-    idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+    for term, n in counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect():  # as many rows as asked terms
+        df[term] = n
+    idf = np.log(1 + (stats.n - df + 0.5) / (df + 0.5))
     order = np.argsort(names.indices.to_numpy(), kind="stable")
     of_query = np.split(terms.indices.to_numpy()[order], np.cumsum(np.bincount(names.indices.to_numpy(), minlength=len(names.dictionary)))[:-1])
     ids = names.dictionary.to_pylist()
@@ -100,35 +103,30 @@ def search_texts(
         for batch in batches:
             held.append(batch)
             if sum(map(len, held)) >= shard_docs:
-                yield _best_of(held, vocabulary, idf, avg_len, ids, of_query, k)
+                yield _best_of(held, idf, avg_len, ids, of_query, k)
                 held = []
         if held:
-            yield _best_of(held, vocabulary, idf, avg_len, ids, of_query, k)
+            yield _best_of(held, idf, avg_len, ids, of_query, k)
 
-    scored = tokens.mapInArrow(run, "query string, doc string, score decimal(20,0)").withColumn("score", (F.col("score") / F.lit(SCALE)).cast("decimal(20,9)"))
+    scored = counted.mapInArrow(run, "query string, doc string, score decimal(20,0)").withColumn("score", (F.col("score") / F.lit(SCALE)).cast("decimal(20,9)"))
     return top(scored, k)
 
 
-def _asked_pairs(tokens: pa.ListArray, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(asked term, document) pairs that occur, how often each does, and the length of each document."""
-    sizes = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    codes = pc.fill_null(pc.index_in(tokens.flatten(), vocabulary), -1).to_numpy().astype(np.int64)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    key, tf = np.unique((codes * max(len(sizes), 1) + doc)[codes >= 0], return_counts=True)
-    return np.stack(np.divmod(key, max(len(sizes), 1)), axis=1), tf, sizes
-
-
-def _best_of(held: list[pa.RecordBatch], vocabulary: pa.Array, idf: np.ndarray, avg_len: float, ids: list[str], of_query: list[np.ndarray], k: int) -> pa.RecordBatch:
+def _best_of(held: list[pa.RecordBatch], idf: np.ndarray, avg_len: float, ids: list[str], of_query: list[np.ndarray], k: int) -> pa.RecordBatch:
     """The best ``k`` of one shard for every query, ties by key."""
     table = pa.Table.from_batches(held).sort_by("doc").combine_chunks()
-    docs = table.column("doc").to_pylist()
-    pairs, tf, sizes = _asked_pairs(table.column("tokens").combine_chunks(), vocabulary)
-    term, doc = pairs[:, 0], pairs[:, 1]
-    starts = np.searchsorted(term, np.arange(len(vocabulary) + 1))
-    parts = np.rint(idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / avg_len)) * SCALE))
+    docs, length = table.column("doc").to_pylist(), table.column("size").to_numpy()
+    own, times = (table.column(c).combine_chunks() for c in ("terms", "times"))
+    doc = np.repeat(np.arange(len(docs)), own.value_lengths().to_numpy())
+    term, tf = own.flatten().to_numpy(), times.flatten().to_numpy()
+    parts = np.rint(idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / avg_len)) * SCALE))
+    by_term = np.argsort(term, kind="stable")
+    doc, parts, starts = doc[by_term], parts[by_term], np.searchsorted(term[by_term], np.arange(len(idf) + 1))
     out: tuple[list, list, list] = ([], [], [])
     for query, terms in zip(ids, of_query):
-        at = np.concatenate([np.arange(starts[t], starts[t + 1]) for t in terms]) if len(terms) else np.empty(0, np.int64)
+        sizes = starts[terms + 1] - starts[terms]
+        ends = np.cumsum(sizes)
+        at = np.repeat(starts[terms] - ends + sizes, sizes) + np.arange(ends[-1])
         places, scores = _first(np.bincount(doc[at], parts[at], len(docs)), k)
         out[0].extend([query] * len(places))
         out[1].extend(docs[p] for p in places)
