@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +38,8 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and stored reliably, so that a lost executor costs no recomputation upstream."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the one that all executors share."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -128,10 +128,10 @@ def verdict(reply: Column) -> Column:
     return F.when(raw.isNotNull(), ~raw.isin("false", "0", "0.0", "", "null", "[]", "{}"))
 
 
-def retry_delay(message: Column) -> Column:
-    """Seconds that an error message asks to wait; 30 if it names none."""
+def retry_delay(message: Column, default: float = 30.0) -> Column:
+    """Seconds that an error message asks to wait; ``default`` if it names none."""
     found = F.regexp_extract(F.lower(message), r"retry in ([0-9]+(?:\.[0-9]+)?)\s*s", 1)
-    return F.coalesce(found.try_cast("double"), F.lit(30.0))
+    return F.coalesce(found.try_cast("double"), F.lit(default))
 
 
 def escape_html(text: Column) -> Column:
@@ -141,13 +141,28 @@ def escape_html(text: Column) -> Column:
 
 
 def answer_html(answer: Column, n_docs: Column) -> Column:
-    """Escaped answer with anchors on citations of existing passages and line breaks."""
+    """Escaped answer with anchors on citations of existing passages and line breaks. ``[01]`` cites passage 1."""
     marked = F.aggregate(
         F.when(n_docs > 0, F.sequence(F.lit(1), n_docs)).otherwise(F.array().cast("array<int>")),
         escape_html(answer),
-        lambda t, i: F.replace(
-            t, F.concat(F.lit("["), i.cast("string"), F.lit("]")),
-            F.concat(F.lit('<a href="#source-'), i.cast("string"), F.lit('">['), i.cast("string"), F.lit("]</a>")),
+        lambda t, i: F.regexp_replace(
+            t, F.concat(F.lit(r"\[(0*"), i.cast("string"), F.lit(r")\]")),
+            F.concat(F.lit('<a href="#source-'), i.cast("string"), F.lit('">[$1]</a>')),
         ),
     )
     return F.replace(marked, F.lit("\n"), F.lit("<br>"))
+
+
+def source_preview(text: Column, most: int = 420) -> Column:
+    """(title, body, preview, more) of a passage: the first line, the rest, its start, and whether something is left out."""
+    whole = strip(text)
+    title = F.substring_index(whole, "\n", 1)
+    body = F.when(F.contains(whole, F.lit("\n")), strip(F.substring(whole, F.length(title) + 2, F.length(whole)))).otherwise(F.lit(""))
+    more = F.length(body) > most
+    preview = F.when(more, F.concat(F.substring(body, 1, most), F.lit("…"))).otherwise(body)
+    return F.struct(title.alias("title"), body.alias("body"), preview.alias("preview"), more.alias("more"))
+
+
+def prefixed(text: Column, prefix: str) -> Column:
+    """The text with what an encoder wants in front of it; null stays null."""
+    return F.concat(F.lit(prefix), text)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,29 +76,36 @@ def prompt_records(shown: DataFrame, docs: DataFrame, questions: DataFrame) -> D
     )
 
 
+def hash_places(rows: DataFrame, key: str, seed: int, part_rows: int = 4096) -> DataFrame:
+    """(row: the columns of ``rows`` as a struct, place, total): the place of each row from 1 on, in an order that the seed fixes, and their number.
+
+    Rows are numbered within hash prefixes of about ``part_rows`` rows, whose length follows from the number of rows; the
+    prefixes are counted up within their first three digits, and these, at most 4,096, one after another.
+    """
+    digits = max(3, ceil(log(max(rows.count(), 1) / part_rows, 16)))
+    keyed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), order_key(seed, key).alias("at")).withColumn("fine", F.substring("at", 1, digits))
+    fine = keyed.groupBy("fine").agg(F.count("*").alias("size")).withColumn("coarse", F.substring("fine", 1, 3))
+    earlier = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    coarse = fine.groupBy("coarse").agg(F.sum("size").alias("size"))
+    whole = F.sum("size").over(W.orderBy("coarse").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    coarse = coarse.select("coarse", earlier(W.orderBy("coarse")).alias("before"), whole.alias("total"))
+    starts = fine.select("fine", "coarse", earlier(W.partitionBy("coarse").orderBy("fine")).alias("inside")).join(F.broadcast(coarse), "coarse")
+    within = F.row_number().over(W.partitionBy("fine").orderBy("at", F.col("row")[key]))
+    return keyed.withColumn("within", within).join(starts, "fine").select("row", (F.col("before") + F.col("inside") + F.col("within")).alias("place"), "total")
+
+
 def subsample(articles: DataFrame, keep: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """All kept articles that exist, filled up to ``size`` with others in an order that the seed fixes."""
     kept = articles.join(keep.select("article_id").distinct(), "article_id", "left_semi")
     rest = articles.join(keep.select("article_id"), "article_id", "left_anti")
     room = kept.agg(F.greatest(F.lit(size) - F.count("*"), F.lit(0)).alias("room"))
-    # One row of room beside the others; the fill is a top-k by hash.
-    ordered = rest.select("article_id", order_key(seed, "article_id").alias("at")).orderBy("at", "article_id").limit(size)
-    fill = ordered.withColumn("n", F.row_number().over(W.orderBy("at", "article_id"))).crossJoin(F.broadcast(room)).where("n <= room")
-    return kept.union(articles.join(fill.select("article_id"), "article_id", "left_semi"))
+    # One row of room beside the places.
+    fill = hash_places(rest.select("article_id"), "article_id", seed).crossJoin(F.broadcast(room)).where("place <= room")
+    return kept.union(articles.join(fill.select("row.article_id"), "article_id", "left_semi"))
 
 
 def train_val(rows: DataFrame, key: str, ratio: float, seed: int = 0) -> DataFrame:
-    """``rows`` with ``part`` (in place of a column of that name): exactly max(1, floor(n * ratio)) of them ``val``, by the order of a hash.
-
-    The cut is a percentile-free count: ranks are taken within hash prefixes whose sizes are summed first.
-    """
-    keyed = rows.select(F.struct(*rows.columns).alias("row"), order_key(seed, key).alias("at")).withColumn("prefix", F.substring("at", 1, 3))
-    # At most 4,096 prefixes.
-    sizes = keyed.groupBy("prefix").agg(F.count("*").alias("size"))
-    before = F.coalesce(F.sum("size").over(W.orderBy("prefix").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    whole = F.sum("size").over(W.orderBy("prefix").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    offsets = sizes.select("prefix", before.alias("before"), whole.alias("total"))
-    within = F.row_number().over(W.partitionBy("prefix").orderBy("at", F.col("row")[key]))
-    placed = keyed.join(F.broadcast(offsets), "prefix").withColumn("place", F.col("before") + within)
+    """``rows`` with ``part`` (in place of a column of that name): exactly max(1, floor(n * ratio)) of them ``val``, by the order of a hash."""
+    placed = hash_places(rows, key, seed)
     val = F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("total") * ratio))
     return placed.select(*(F.col("row")[c].alias(c) for c in rows.columns if c != "part"), F.when(val, "val").otherwise("train").alias("part"))

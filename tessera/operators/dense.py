@@ -130,4 +130,4 @@ def dense_pooled(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     hits = dense_search(
         queries.select(F.col("query").alias("id"), "vector"), chunks.select(F.col("chunk_id").alias("id"), "vector"), "id", "vector", k * FANOUT, skip_self=False
     )
-    return pooled(hits, chunks.select("chunk_id", "article_id"), k)
+    return pooled(hits, chunks.select("chunk_id", "article_id").where("article_id is not null"), k)

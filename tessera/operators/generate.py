@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.answers import gated
 from tessera.operators.contexts import context_docs
-from tessera.operators.ranking import rerank
+from tessera.operators.ranking import overlap, rerank
 
 Generator = Callable[[list[dict]], str]
 
@@ -34,6 +35,48 @@ class OutOfQuota(Exception):
     """The model will not answer any more today."""
 
 
+class ModelError(Exception):
+    """What a model's server answered instead: an HTTP status and its message."""
+
+    def __init__(self, status: int, message: str):
+        super().__init__(f"{status}: {message}")
+        self.status, self.message = status, message
+
+
+def wait_hint(message: str, default: float = 30.0) -> float:
+    """Seconds that an error message asks to wait, as ``functions.text.retry_delay``."""
+    found = re.search(r"retry in ([0-9]+(?:\.[0-9]+)?)\s*s", message.lower())
+    return float(found[1]) if found else default
+
+
+def patient(model: Generator, *, attempts: int = 5, sleep=time.sleep) -> Generator:
+    """The model, asked again where that may help.
+
+    Status 429 waits as long as the message asks and a second more, or raises OutOfQuota where a daily quota is spent; a
+    status from 500 on waits 10 s, twice as long each time, at most 120. Other errors, and the last one, are raised.
+    """
+
+    def ask(prompt: list[dict]) -> str:
+        for n in range(attempts):
+            try:
+                return model(prompt)
+            except ModelError as e:
+                if e.status == 429 and "perday" in e.message.lower():
+                    raise OutOfQuota(e.message) from e
+                if (e.status != 429 and e.status < 500) or n == attempts - 1:
+                    raise
+                sleep(wait_hint(e.message) + 1 if e.status == 429 else min(10 * 2**n, 120))
+        raise AssertionError("no attempt")
+
+    return ask
+
+
+def candidates(k: int | None, *, default_k: int = 3, pool: int = 30, reranks: bool = True) -> tuple[int, int]:
+    """(passages to show, hits to retrieve): 0 or null ``k`` means the default; a re-ranker gets at least ``pool`` hits."""
+    shown = k or default_k
+    return shown, max(shown, pool) if reranks else shown
+
+
 def generate(prompts: DataFrame, make: Callable[[], Generator], *, per_minute: float = 0, callers: int = 8) -> DataFrame:
     """(id, answer, status) of (id, prompt: array of role and content).
 
@@ -76,17 +119,21 @@ def first_sentence() -> Generator:
 
 
 def answered(
-    hits: DataFrame, questions: DataFrame, docs: DataFrame, articles: DataFrame, make: Callable[[], Generator], *, k: int = 3, threshold: float | None = None
-) -> DataFrame:
+    hits: DataFrame, questions: DataFrame, docs: DataFrame, articles: DataFrame, make: Callable[[], Generator], *,
+    k: int = 3, threshold: float | None = None, scorer: Callable[[Column, Column], Column] | None = overlap,
+) -> DataFrame:
     """(query, answer, refused, gated, top_score, cited): from candidates to cited answers.
 
     ``hits`` (query, doc, and hit_text where the match has a text of its own, else it is the whole document's) are
-    re-ranked to ``k``; a question whose best score is under ``threshold``, or that has no hit, is refused
-    without asking the model: only the others' rows reach it.
+    re-ranked to ``k`` by ``scorer``; a question whose best score is under ``threshold``, or that has no hit, is refused
+    without asking the model: only the others' rows reach it. Without a scorer the hits keep their own scores and order, and
+    a threshold, which is one of the scorer's scores, raises.
     """
+    if threshold is not None and scorer is None:
+        raise ValueError("a threshold needs a scorer")
     if "hit_text" not in hits.columns:
-        hits = hits.select("query", "doc").join(docs.select("doc", F.col("text").alias("hit_text")), "doc")
-    best = rerank(hits, questions, docs, k)
+        hits = hits.join(docs.select("doc", F.col("text").alias("hit_text")), "doc")
+    best = rerank(hits, questions, docs, k, scorer) if scorer else hits.where(F.col("rank") <= k).select("query", "doc", "hit_text", F.col("score").cast("double").alias("score"), "rank")
     top = questions.select("query").join(best.groupBy("query").agg(F.max("score").alias("top_score")), "query", "left")
     rows = gated(top.withColumn("answer", F.lit(None).cast("string")), F.col("top_score"), threshold if threshold is not None else 0.0)
     if threshold is None:

@@ -10,16 +10,20 @@ from tessera.functions.lineage import cut
 from tessera.operators import answers as A
 from tessera.operators import bm25, sharded_search
 from tessera.operators.contexts import context_docs, prompt_records, sampled_docs, share, shown_hits, subsample, train_val
+from tessera.operators.judge import open_verdicts
 from tessera.operators.ranking import overlap
 from tessera.plans.registry import Registry
 from tessera.plans.retrieval_queries import _BM25, _articles, _asked, _docs, _gold
-from tessera.plans.sql_parts import ARTICLES, GOLD
+from tessera.plans.sql_parts import ARTICLES, GOLD, PASSAGES
+from tessera.plans.sql_parts import citation as citation_sql
+from tessera.plans.sql_parts import strip as strip_sql
 from tessera.plans.sql_parts import words as words_sql
+from tessera.sources.stores import unfinished, with_cache
 from tessera.sources.tables import table
 
 R = Registry()
 
-_CLEAN = "regexp_replace(regexp_replace(coalesce(answer, ''), '(?s)<think>.*?</think>', '', 'g'), '^\\s+|\\s+$', '', 'g')"
+_CLEAN = strip_sql("regexp_replace(coalesce(answer, ''), '(?s)<think>.*?</think>', '', 'g')")
 _ANSWERS = f"""answers AS (
   SELECT line_no, id, model, latency_ms, context, n_docs, coalesce(gold, []) AS gold, answer, {_CLEAN} AS clean FROM generations
 ), marks AS (
@@ -47,8 +51,8 @@ def _scored(spark: SparkSession, folder: str) -> DataFrame:
 @R.add(f"WITH {_ANSWERS} SELECT line_no, clean, refused FROM rows")
 def clean_answers(spark: SparkSession, folder: str) -> DataFrame:
     """Answers without reasoning blocks, and whether they refuse."""
-    clean = F.regexp_replace(F.regexp_replace(F.coalesce("answer", F.lit("")), r"(?s)<think>.*?</think>", ""), r"^[\t\n\f\r ]+|[\t\n\f\r ]+$", "")
-    return _saved(spark, folder).select("line_no", clean.alias("clean"), T.is_refusal(T.clean_answer(F.coalesce("answer", F.lit("")))).alias("refused"))
+    clean = T.clean_answer(F.coalesce("answer", F.lit("")))
+    return _saved(spark, folder).select("line_no", clean.alias("clean"), T.is_refusal(clean).alias("refused"))
 
 
 @R.add(f"WITH {_ANSWERS} SELECT line_no, array_to_string(valid, ',') AS valid, array_to_string(list_filter(cited, lambda x: coalesce(x NOT BETWEEN 1 AND n_docs, true)), ',') AS invalid FROM rows")
@@ -91,7 +95,7 @@ def error_analysis(spark: SparkSession, folder: str) -> DataFrame:
 
 # Prompts
 
-_Q = "regexp_replace(string_split(context, chr(10) || chr(10) || 'CÂU HỎI: ')[-1], '^\\s+|\\s+$', '', 'g')"
+_Q = strip_sql("string_split(context, chr(10) || chr(10) || 'CÂU HỎI: ')[-1]")
 
 
 @R.add(f"SELECT line_no, CASE WHEN starts_with(context, 'NGỮ CẢNH:' || chr(10)) AND contains(context, chr(10) || chr(10) || 'CÂU HỎI: ') THEN {_Q} END AS question FROM generations")
@@ -100,7 +104,10 @@ def prompt_questions(spark: SparkSession, folder: str) -> DataFrame:
     return _saved(spark, folder).select("line_no", T.message_question(F.col("context")).alias("question"))
 
 
-@R.add()
+@R.add(
+    f"""WITH RECURSIVE {PASSAGES} SELECT line_no, place, passage FROM passages
+UNION ALL SELECT line_no, NULL, NULL FROM generations WHERE line_no NOT IN (SELECT line_no FROM passages)"""
+)
 def prompt_passages(spark: SparkSession, folder: str) -> DataFrame:
     """The numbered passages of each saved prompt."""
     return _saved(spark, folder).select("line_no", F.posexplode_outer(T.message_passages(F.col("context"), F.col("n_docs"))).alias("place", "passage"))
@@ -117,21 +124,24 @@ _HTML = f"""{_CLEAN}"""
 
 @R.add(
     f"""SELECT line_no, replace(CASE WHEN n_docs > 0 THEN list_reduce(list_concat([e], list_transform(range(1, n_docs + 1), lambda i: CAST(i AS varchar))),
-    lambda t, i: replace(t, concat('[', i, ']'), concat('<a href="#source-', i, '">[', i, ']</a>'))) ELSE e END, chr(10), '<br>') AS html
+    lambda t, i: regexp_replace(t, concat('\\[(0*', i, ')\\]'), concat('<a href="#source-', i, '">[\\1]</a>'), 'g')) ELSE e END, chr(10), '<br>') AS html
 FROM (SELECT line_no, n_docs, replace(replace(replace(replace(replace({_HTML}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS e FROM generations)"""
 )
 def render_answer_html(spark: SparkSession, folder: str) -> DataFrame:
     """Answers as HTML with anchors on citations."""
-    clean = F.regexp_replace(F.regexp_replace(F.coalesce("answer", F.lit("")), r"(?s)<think>.*?</think>", ""), r"^[\t\n\f\r ]+|[\t\n\f\r ]+$", "")
+    clean = T.clean_answer(F.coalesce("answer", F.lit("")))
     return _saved(spark, folder).select("line_no", T.answer_html(clean, F.col("n_docs")).alias("html"))
 
 
-# Gate: the score of a saved prompt is the lexical overlap of question and context
+# Gate: the score of a saved prompt is the largest lexical overlap of its question with one of its passages
 
-_GATE = f"""gate AS (
-  SELECT line_no, id, model, answer, n_docs, context, latency_ms, coalesce(gold, []) AS gold, len(coalesce(gold, [])) > 0 AS answerable,
-    round(coalesce(len(list_intersect(a, d)) / nullif(len(a), 0)::double, 0), 4) AS score
-  FROM (SELECT *, list_distinct({words_sql(_Q)}) AS a, {words_sql("regexp_extract(context, '(?s)^NGỮ CẢNH:' || chr(10) || '(.*)' || chr(10) || chr(10) || 'CÂU HỎI: ', 1)")} AS d FROM generations)
+_GATE = f"""{PASSAGES}, asked_words AS (SELECT line_no, list_distinct({words_sql(_Q)}) AS a FROM generations),
+shares AS (
+  SELECT line_no, max(coalesce(len(list_intersect(a, d)) / nullif(len(a), 0)::double, 0)) AS most
+  FROM (SELECT p.line_no, a, {words_sql("passage")} AS d FROM passages p JOIN asked_words w ON w.line_no = p.line_no) GROUP BY line_no
+), gate AS (
+  SELECT g.line_no, id, model, answer, n_docs, context, latency_ms, coalesce(gold, []) AS gold, len(coalesce(gold, [])) > 0 AS answerable, round(coalesce(most, 0), 4) AS score
+  FROM generations g LEFT JOIN shares o ON o.line_no = g.line_no
 ), counts AS (SELECT score AS threshold, count(*) FILTER (WHERE answerable) AS pos, count(*) FILTER (WHERE NOT answerable) AS neg FROM gate GROUP BY score
   UNION ALL SELECT 0.0, 0, 0 UNION ALL SELECT 'infinity'::double, 0, 0),
 once AS (SELECT threshold, sum(pos) AS pos, sum(neg) AS neg FROM counts GROUP BY threshold),
@@ -140,30 +150,31 @@ points AS (SELECT threshold, round(keep, 6) AS keep_answerable, round(block, 6)
 
 
 def _gate_rows(spark: SparkSession, folder: str) -> DataFrame:
-    passages = F.regexp_extract("context", "(?s)^" + T.CONTEXT_MARK + "(.*)" + T.QUESTION_MARK, 1)
-    score = F.round(overlap(F.substring_index("context", T.QUESTION_MARK, -1), passages), 4)
+    question = F.substring_index("context", T.QUESTION_MARK, -1)
+    scores = F.transform(T.message_passages(F.col("context"), F.col("n_docs")), lambda passage: overlap(question, passage))
+    score = F.round(F.coalesce(F.array_max(scores), F.lit(0.0)), 4)
     return _saved(spark, folder).withColumns({"score": score, "answerable": F.coalesce(F.size("gold"), F.lit(0)) > 0})
 
 
-@R.add(f"WITH {_GATE} SELECT threshold, keep_answerable, block_negative, balanced_accuracy FROM points")
+@R.add(f"WITH RECURSIVE {_GATE} SELECT threshold, keep_answerable, block_negative, balanced_accuracy FROM points")
 def gate_sweep(spark: SparkSession, folder: str) -> DataFrame:
     """Kept and blocked shares at every threshold."""
     return A.gate_sweep(_gate_rows(spark, folder))
 
 
-@R.add(f"WITH {_GATE} SELECT * FROM points ORDER BY balanced_accuracy DESC, threshold LIMIT 1")
+@R.add(f"WITH RECURSIVE {_GATE} SELECT * FROM points ORDER BY balanced_accuracy DESC, threshold LIMIT 1")
 def gate_choose_balanced(spark: SparkSession, folder: str) -> DataFrame:
     """The threshold of best balanced accuracy."""
     return A.choose_threshold(gate_sweep(spark, folder))
 
 
-@R.add(f"WITH {_GATE} SELECT * FROM points WHERE keep_answerable >= 0.9 ORDER BY block_negative DESC, threshold LIMIT 1")
+@R.add(f"WITH RECURSIVE {_GATE} SELECT * FROM points WHERE keep_answerable >= 0.9 ORDER BY block_negative DESC, threshold LIMIT 1")
 def gate_choose_min_keep(spark: SparkSession, folder: str) -> DataFrame:
     """The strictest threshold that keeps nine in ten answerable questions."""
     return A.choose_threshold(gate_sweep(spark, folder), 0.9)
 
 
-_GATED_SQL = f"""WITH {_GATE}, gated AS (SELECT *, score IS NULL OR score < 0.5 AS gated FROM gate)"""
+_GATED_SQL = f"""WITH RECURSIVE {_GATE}, gated AS (SELECT *, score IS NULL OR score < 0.5 AS gated FROM gate)"""
 
 
 @R.add(_GATED_SQL + " SELECT model, count(*) AS n, round(avg((NOT gated)::int) FILTER (WHERE answerable), 6) AS keep, round(avg(gated::int) FILTER (WHERE NOT answerable), 6) AS block FROM gated GROUP BY model")
@@ -177,7 +188,7 @@ def gate_test_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @R.add(
-    f"""WITH {_GATE}, {_ANSWERS}, flags AS (SELECT line_no AS line, score < 0.5 AS gated FROM gate),
+    f"""WITH RECURSIVE {_GATE}, {_ANSWERS}, flags AS (SELECT line_no AS line, score < 0.5 AS gated FROM gate),
 after AS (SELECT r.* REPLACE (r.refused OR gated AS refused, NOT (r.refused OR gated) AND NOT gated AND len(r.valid) = 0 AS uncited, r.cites_gold AND NOT gated AS cites_gold,
   r.invalid_cite AND NOT gated AS invalid_cite, CASE WHEN gated THEN NULL ELSE r.cite_precision END AS cite_precision) FROM rows r JOIN flags ON r.line_no = flags.line),
 a AS (SELECT model, {_SUMMARY} FROM rows GROUP BY model), b AS (SELECT model, {_SUMMARY} FROM after GROUP BY model)
@@ -197,16 +208,20 @@ def before_after_report(spark: SparkSession, folder: str) -> DataFrame:
 # Contexts and sampling
 
 
+_SHOWN_DOCS = f""", shown_docs AS (
+  SELECT query, doc, rank, {citation_sql('doc', 'title')} AS citation, CASE WHEN length(whole) <= 1500 THEN whole ELSE substring(text, 1, 1500) END AS text
+  FROM (SELECT u_ranked.query, u_ranked.doc, rank, docs.text, title, {strip_sql('docs.text')} AS whole
+    FROM u_ranked JOIN docs ON docs.doc = u_ranked.doc JOIN articles a ON a.article_id = u_ranked.doc WHERE rank <= 3))"""
+
+
 def _pool(spark: SparkSession, folder: str) -> DataFrame:
     return sharded_search.search_texts(_docs(spark, folder), _asked(spark, folder), 10)
 
 
 @R.add(
     _BM25
-    + """ SELECT query, doc, rank, concat(CASE WHEN starts_with(lower(head), 'điều') THEN head ELSE concat('Điều ', string_split(doc, '+')[-1]) END, ', ', upper(regexp_extract(doc, '(?s)^(.*)\\+', 1))) AS citation,
-  CASE WHEN length(whole) <= 1500 THEN whole ELSE substring(text, 1, 1500) END AS text
-FROM (SELECT u_ranked.query, u_ranked.doc, rank, docs.text, regexp_replace(split_part(title, '.', 1), '^\\s+|\\s+$', '', 'g') AS head, regexp_replace(docs.text, '^\\s+|\\s+$', '', 'g') AS whole
-  FROM u_ranked JOIN docs ON docs.doc = u_ranked.doc JOIN articles a ON a.article_id = u_ranked.doc WHERE rank <= 3)"""
+    + _SHOWN_DOCS
+    + " SELECT query, doc, rank, citation, text FROM shown_docs"
 )
 def context_passages(spark: SparkSession, folder: str) -> DataFrame:
     """Passage and citation of the three best articles of each question, whole articles searched: a long one gives its start."""
@@ -214,6 +229,16 @@ def context_passages(spark: SparkSession, folder: str) -> DataFrame:
     return context_docs(hits.select("query", "doc", "rank", "hit_text"), _articles(spark, folder))
 
 
+@R.add(
+    _BM25 + _SHOWN_DOCS + f""" SELECT s.query, concat('NGỮ CẢNH:', chr(10), string_agg(concat('[', rank, '] (', citation, ')', chr(10), {strip_sql('s.text')}), chr(10) || chr(10) ORDER BY rank),
+  chr(10), chr(10), 'CÂU HỎI: ', any_value({strip_sql('asked.text')})) AS message FROM shown_docs s JOIN asked ON asked.query = s.query GROUP BY s.query"""
+)
+def context_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """The user turn with the numbered passages of each question."""
+    docs = context_passages(spark, folder).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "citation", "text"))).alias("d"))
+    return docs.join(_asked(spark, folder).withColumnRenamed("text", "asked"), "query").select("query", T.user_message(F.col("asked"), F.col("d")).alias("message"))
+
+
 @R.add()
 def context_passages_matched(spark: SparkSession, folder: str) -> DataFrame:
     """The same with chunks searched: a long article gives the chunk that matched."""
@@ -318,7 +343,7 @@ def gate_questions(spark: SparkSession, folder: str) -> DataFrame:
 def resume_worklist(spark: SparkSession, folder: str) -> DataFrame:
     """Questions of a split that have no saved answer yet."""
     rows = _gold(spark, folder).where("split = 'train'").select("query_id").distinct()
-    return rows.join(_saved(spark, folder).select(F.col("id").alias("query_id")), "query_id", "left_anti")
+    return unfinished(rows, _saved(spark, folder).select(F.col("id").alias("query_id")), "query_id")
 
 
 @R.add("""SELECT g.line_no, s.line_no IS NOT NULL AS cached FROM generations g
@@ -326,14 +351,17 @@ LEFT JOIN (SELECT id, md5(list_filter(prompt, lambda m: m.role = 'user')[-1].con
 def score_cache_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Saved answers whose very prompt was scored before."""
     user = F.try_element_at(F.filter("prompt", lambda m: m["role"] == "user"), F.lit(-1))["content"]
-    cache = table(spark, folder, "sft_raw").select("id", F.md5(user).alias("digest")).distinct().withColumn("cached", F.lit(True))
-    return _saved(spark, folder).withColumn("digest", F.md5("context")).join(cache, ["id", "digest"], "left").select("line_no", F.coalesce("cached", F.lit(False)).alias("cached"))
+    cache = table(spark, folder, "sft_raw").select("id", F.md5(user).alias("digest"), "line_no")
+    work = _saved(spark, folder).select(F.col("line_no").alias("row"), "id", F.md5("context").alias("digest"))
+    known, missing = with_cache(work, cache, ["id", "digest"], "line_no")
+    return known.select(F.col("row").alias("line_no"), F.lit(True).alias("cached")).union(missing.select("row", F.lit(False)))
 
 
-@R.add(f"WITH {_ANSWERS} SELECT line_no, id FROM rows WHERE NOT refused")
+@R.add(f"WITH {_ANSWERS} SELECT line_no AS id FROM rows WHERE NOT refused AND line_no % 3 <> 0")
 def judge_worklist(spark: SparkSession, folder: str) -> DataFrame:
-    """Answers a judge has to see: those that do not refuse."""
-    return _scored(spark, folder).where(~F.col("refused")).select("line_no", "id")
+    """Answers a judge has yet to see: those that do not refuse and have no verdict in a log, here of every third row, and of others without one."""
+    log = _saved(spark, folder).where("line_no % 3 < 2").select(F.col("line_no").alias("id"), F.when(F.expr("line_no % 3 = 0"), True).alias("faithful"))
+    return open_verdicts(_scored(spark, folder).withColumn("id", F.col("line_no")), log).select("id")
 
 
 @R.add(

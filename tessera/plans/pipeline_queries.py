@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.lineage import checkpoint_folder
+from tessera.functions.lineage import new_folder
 from tessera.operators import bm25, sharded_search
-from tessera.operators.generate import answered, first_sentence, generate
+from tessera.operators.generate import answered, candidates, first_sentence, generate
 from tessera.plans.answer_queries import _ANSWERS, _saved
 from tessera.plans.registry import Registry
 from tessera.plans.retrieval_queries import _BM25, _articles, _asked, _docs, _hits
@@ -22,15 +20,10 @@ from tessera.streaming.answers import score_files
 R = Registry()
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that all executors share."""
-    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @R.add(f"WITH {ARTICLES} SELECT article_id, title, text FROM articles")
 def articles_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """The articles written as JSON lines and loaded again."""
-    place = _place(spark, "articles")
+    place = new_folder(spark, "articles")
     save_articles(_articles(spark, folder), place)
     return load_articles(spark, place)
 
@@ -38,7 +31,7 @@ def articles_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 @R.add(_BM25 + " SELECT query, doc, rank, CAST(score AS double) AS score FROM u_ranked WHERE rank <= 10")
 def index_top10(spark: SparkSession, folder: str) -> DataFrame:
     """Search over an index that was stored and loaded again."""
-    place, docs = _place(spark, "index"), _docs(spark, folder)
+    place, docs = new_folder(spark, "index"), _docs(spark, folder)
     save_index(bm25.build(bm25.tokenized(docs, "doc", "text")), place)
     return _hits(bm25.search(load_index(spark, place, docs), bm25.query_terms(_asked(spark, folder), "query", "text"), 10))
 
@@ -46,7 +39,7 @@ def index_top10(spark: SparkSession, folder: str) -> DataFrame:
 @R.add(f"WITH {_ANSWERS} SELECT line_no, model, answerable, refused, invalid_cite, uncited, cites_gold, cite_precision FROM rows")
 def stream_score_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Saved answers scored as a stream of files."""
-    place = _place(spark, "scored")
+    place = new_folder(spark, "scored")
     return score_files(spark, f"{folder}/generations*.parquet", f"{place}/rows", f"{place}/progress")
 
 
@@ -74,4 +67,5 @@ def stub_answers(spark: SparkSession, folder: str) -> DataFrame:
 def pipeline_answer(spark: SparkSession, folder: str) -> DataFrame:
     """From question to cited answer: search over chunks, re-ranking, gate, prompt, stand-in model, citations."""
     known, docs, asked = _articles(spark, folder), _docs(spark, folder), _asked(spark, folder)
-    return answered(sharded_search.search_articles(known, asked, 30), asked, docs, known, first_sentence, threshold=0.5)
+    shown, retrieved = candidates(None)
+    return answered(sharded_search.search_articles(known, asked, retrieved), asked, docs, known, first_sentence, k=shown, threshold=0.5)

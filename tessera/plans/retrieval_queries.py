@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.text import citation, law_id, normalize
+from tessera.functions.text import citation, law_id, normalize, prefixed, strip, words
 from tessera.operators import bm25, sharded_search
 from tessera.operators.chunking import chunk_articles
-from tessera.operators.dense import dense_search
+from tessera.operators.dense import dense_pooled, dense_search, text_vectors
 from tessera.operators.ranking import fuse, mean_metrics, overlap, per_query_metrics, rerank
 from tessera.operators.references import orphan_report, orphans, references
 from tessera.plans.registry import Registry
 from tessera.plans.sql_parts import ARTICLE_DOCS, ARTICLES, ASKED, CHUNK_DOCS, GOLD, QUESTIONS
 from tessera.plans.sql_parts import bm25 as bm25_sql
+from tessera.plans.sql_parts import citation as citation_sql
+from tessera.plans.sql_parts import strip as strip_sql
+from tessera.plans.sql_parts import vectors as vectors_sql
 from tessera.plans.sql_parts import words as words_sql
 from tessera.sources.records import articles, judged_with_corpus, judgements, last_rows, questions
 from tessera.sources.tables import table
@@ -137,10 +140,7 @@ def split_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @R.add(
-    f"""WITH {ARTICLES}, parts AS (
-  SELECT article_id, regexp_replace(split_part(title, '.', 1), '^\\s+|\\s+$', '', 'g') AS head,
-    regexp_extract(article_id, '(?s)^(.*)\\+', 1) AS law_id, string_split(article_id, '+')[-1] AS number FROM articles)
-SELECT article_id, law_id, concat(CASE WHEN starts_with(lower(head), 'điều') THEN head ELSE concat('Điều ', number) END, ', ', upper(law_id)) AS citation FROM parts"""
+    f"""WITH {ARTICLES} SELECT article_id, regexp_extract(article_id, '(?s)^(.*)\\+', 1) AS law_id, {citation_sql('article_id', 'title')} AS citation FROM articles"""
 )
 def citation_format(spark: SparkSession, folder: str) -> DataFrame:
     """Law and citation of every article."""
@@ -156,10 +156,10 @@ def law_sizes(spark: SparkSession, folder: str) -> DataFrame:
 # Words
 
 
-@R.add(f"WITH {QUESTIONS} SELECT query_id, lower(nfc_normalize(text)) AS normalized, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS stripped FROM questions")
+@R.add(f"WITH {QUESTIONS} SELECT query_id, lower(nfc_normalize(text)) AS normalized, {strip_sql('text')} AS stripped FROM questions")
 def normalized_questions(spark: SparkSession, folder: str) -> DataFrame:
     """Questions in composed lower-case form, and stripped."""
-    return _questions(spark, folder).select("query_id", normalize(F.col("text")).alias("normalized"), F.regexp_replace("text", r"^[\t\n\f\r ]+|[\t\n\f\r ]+$", "").alias("stripped"))
+    return _questions(spark, folder).select("query_id", normalize(F.col("text")).alias("normalized"), strip(F.col("text")).alias("stripped"))
 
 
 @R.add(f"WITH {ARTICLES}, {ARTICLE_DOCS} SELECT doc, array_to_string({words_sql('text')}, ' ') AS tokens FROM docs")
@@ -275,6 +275,29 @@ def dense_same_label(spark: SparkSession, folder: str) -> DataFrame:
     return hits.groupBy("query").agg(F.round(F.avg(F.when(F.col("label") == F.col("query_label"), 1.0).otherwise(0.0)), 6).alias("same_label"))
 
 
+_CHUNK_VECTORS = f"""WITH {QUESTIONS}, {ASKED}, {CHUNK_DOCS}, asked_docs AS (SELECT query AS doc, text FROM asked), {bm25_sql('c')}, {vectors_sql('q', 'asked_docs', 'query: ')}, {vectors_sql('d', 'docs', 'passage: ')},
+products AS (SELECT q_unit.doc AS query, d_unit.doc AS doc, sum(q_unit.x * d_unit.x) AS score FROM q_unit JOIN d_unit USING (place) GROUP BY 1, 2),
+near AS (SELECT asked.query, docs.doc, article_id, round(coalesce(score, 0), 6) AS score FROM asked CROSS JOIN docs LEFT JOIN products p ON p.query = asked.query AND p.doc = docs.doc),
+d_ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM near),
+d_best AS (SELECT *, row_number() OVER (PARTITION BY query, article_id ORDER BY score DESC, doc) AS best FROM d_ranked WHERE rank <= DEPTH AND article_id IS NOT NULL),
+d_pooled AS (SELECT query, article_id AS doc, doc AS chunk, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, article_id) AS rank FROM d_best WHERE best = 1)"""
+
+
+def _dense_leg(spark: SparkSession, folder: str, k: int) -> DataFrame:
+    """Articles by their best stored chunk, by hashed vectors."""
+    chunks = _chunks(spark, folder)
+    made = text_vectors(chunks.select("doc", words(prefixed(F.col("text"), "passage: ")).alias("tokens")), "doc", "tokens")
+    made = made.join(chunks.select("doc", "article_id"), "doc").select(F.col("doc").alias("chunk_id"), "article_id", "vector")
+    asked = text_vectors(_asked(spark, folder).select("query", words(prefixed(F.col("text"), "query: ")).alias("tokens")), "query", "tokens")
+    return dense_pooled(asked, made, k)
+
+
+@R.add(_CHUNK_VECTORS.replace("DEPTH", "40") + " SELECT query, doc, rank, score, chunk FROM d_pooled WHERE rank <= 10")
+def dense_chunk_pooled(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best articles by their best stored chunk, out of the forty nearest chunks."""
+    return _dense_leg(spark, folder, 10).select("query", "doc", "rank", "score", "chunk")
+
+
 # Fusion, re-ranking, metrics
 
 _FUSED = f"""WITH {ARTICLES}, {QUESTIONS}, {ASKED}, {ARTICLE_DOCS}, {bm25_sql('u')}, {bm25_sql('b', True)},
@@ -295,6 +318,25 @@ def hybrid_top10(spark: SparkSession, folder: str) -> DataFrame:
     return _hybrid(spark, folder, 10).select("query", "doc", "rank", "score", "run")
 
 
+@R.add(
+    _CHUNK_VECTORS.replace("DEPTH", "400")
+    + """, c_best AS (
+  SELECT query, article_id, doc, score, row_number() OVER (PARTITION BY query, article_id ORDER BY score DESC, doc) AS best
+  FROM c_ranked JOIN (SELECT doc, article_id FROM docs) USING (doc) WHERE rank <= 400 AND article_id IS NOT NULL
+), c_pooled AS (SELECT query, article_id AS doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, article_id) AS rank FROM c_best WHERE best = 1),
+runs AS (SELECT query, doc, rank, 0 AS run FROM c_pooled WHERE rank <= 100 UNION ALL SELECT query, doc, rank, 1 FROM d_pooled WHERE rank <= 100),
+fused AS (SELECT query, doc, round(sum(1.0::double / (60 + rank)), 9) AS score, min(run * 1000000 + rank) AS seen FROM runs GROUP BY query, doc),
+ranked AS (SELECT query, doc, score, CAST(seen // 1000000 AS integer) AS run, row_number() OVER (PARTITION BY query ORDER BY score DESC, seen) AS rank FROM fused)
+SELECT query, doc, rank, score, run FROM ranked WHERE rank <= 10"""
+)
+def hybrid_dense_top10(spark: SparkSession, folder: str) -> DataFrame:
+    """BM25 and the dense leg, both over chunks pooled to articles and to a depth of 100, fused by reciprocal rank."""
+    chunks = _chunks(spark, folder)
+    hits = sharded_search.search_texts(chunks.select("doc", "text"), _asked(spark, folder), 100 * bm25.FANOUT)
+    lexical = bm25.pooled(hits, chunks.select(F.col("doc").alias("chunk_id"), "article_id").where("article_id is not null"), 100)
+    return fuse([lexical, _dense_leg(spark, folder, 100)], 10).select("query", "doc", "rank", "score", "run")
+
+
 _OVERLAP = f"""list_distinct({words_sql('asked.text')})"""
 
 
@@ -373,6 +415,13 @@ def split_queries_page(spark: SparkSession, folder: str) -> DataFrame:
     return placed.where("place > 10 and place <= 30").select("source", "place", "query_id")
 
 
+@R.add(f"WITH {GOLD}, ids AS (SELECT \"query-id\" AS query_id, min(line_no) AS line_no FROM qrels WHERE split = 'train' AND \"query-id\" IS NOT NULL GROUP BY 1) SELECT query_id, line_no FROM ids ORDER BY line_no LIMIT 50 OFFSET 100")
+def split_ids_page(spark: SparkSession, folder: str) -> DataFrame:
+    """Fifty ids of a split in file order, after the first hundred."""
+    ids = table(spark, folder, "qrels").where("split = 'train' and `query-id` is not null").groupBy(F.col("query-id").alias("query_id")).agg(F.min("line_no").alias("line_no"))
+    return ids.orderBy("line_no").offset(100).limit(50)
+
+
 @R.add(
     f"""WITH {ARTICLES}, {GOLD}, {QUESTIONS}, pairs AS (SELECT DISTINCT query_id, article_id FROM gold),
 texts AS (SELECT p.query_id, p.article_id, q.text AS asked, concat(a.title, chr(10), a.text) AS text FROM pairs p JOIN questions q USING (query_id) JOIN articles a USING (article_id))

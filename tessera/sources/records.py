@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,12 +54,50 @@ def judged_with_corpus(gold: DataFrame, asked: DataFrame, known: DataFrame) -> D
     return gold.join(asked.select("query_id"), "query_id", "left_semi").join(held, ["split", "query_id"], "left_semi").select("split", "query_id", "article_id")
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Rows just read from files with ``line_no``: by file name, then by place in the file."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return rows.withColumn("line_no", place)
+
+
 def load_articles(spark: SparkSession, path: str) -> DataFrame:
-    """Articles from JSON lines: ``id`` stands in for ``_id``; of repeated ids the last line of the file counts."""
-    rows = read_jsonl(spark, path, ARTICLE_JSON).withColumn("line_no", F.monotonically_increasing_id())
+    """Articles from JSON lines: ``id`` stands in for ``_id``; of repeated ids the last line counts, files in the order of their names."""
+    rows = in_order(read_jsonl(spark, path, ARTICLE_JSON))
     return articles(rows.withColumn("_id", F.coalesce("_id", "id")))
 
 
+def load_queries(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, text) from JSON lines: ``id`` stands in for ``_id``; of repeated ids the last line counts; a missing text is empty."""
+    rows = in_order(read_jsonl(spark, path, QUERY_JSON))
+    return questions(rows.withColumn("_id", F.coalesce("_id", "id"))).drop("line_no")
+
+
+def load_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """(id, article_id, text) from JSON lines; a chunk without one of them raises when it is read."""
+    rows = read_jsonl(spark, path, CHUNK_JSON)
+    must = lambda c: F.coalesce(F.col(c), F.raise_error(F.lit(f"a chunk has no {c}")).cast("string")).alias(c)
+    return rows.select(*map(must, ("id", "article_id", "text")))
+
+
+def save_chunks(chunks: DataFrame, path: str) -> None:
+    """Chunks as JSON lines of ``id``, ``article_id`` and ``text``."""
+    write_jsonl(chunks.select("id", "article_id", "text"), path)
+
+
+@dataclass
+class Dataset:
+    """articles (article_id, title, text); queries (query_id, text); judgements (split, query_id, article_id)."""
+
+    articles: DataFrame
+    queries: DataFrame
+    judgements: DataFrame
+
+
+def load_dataset(spark: SparkSession, folder: str) -> Dataset:
+    """``corpus.jsonl``, ``queries.jsonl`` and every ``qrels/*.jsonl`` of a folder, each a file or a folder of parts."""
+    return Dataset(load_articles(spark, f"{folder}/corpus.jsonl"), load_queries(spark, f"{folder}/queries.jsonl"), load_judgements(spark, f"{folder}/qrels"))
+
+
 def load_judgements(spark: SparkSession, folder: str) -> DataFrame:
     """Judgements of every ``*.jsonl`` file of a folder; the split is the file's name."""
     rows = read_jsonl(spark, f"{folder}/*.jsonl", QREL_JSON)

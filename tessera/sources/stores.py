@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.bm25 import Index
+from tessera.operators.bm25 import Index, build, tokenized
 
 
 def save_index(index: Index, path: str, partitions: int | None = None) -> None:
@@ -16,6 +18,43 @@ def save_index(index: Index, path: str, partitions: int | None = None) -> None:
     index.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
+def save_vectors(vectors: DataFrame, path: str) -> None:
+    """Vectors as Parquet, and a row of how many they are."""
+    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    vectors.sparkSession.read.parquet(f"{path}/vectors").agg(F.count("*").alias("n_docs")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def load_vectors(spark: SparkSession, path: str, docs: DataFrame) -> DataFrame:
+    """The vectors of a saved table; raises if it was made of another number of documents."""
+    built, held = spark.read.parquet(f"{path}/stats").first().n_docs, docs.count()
+    if built != held:
+        raise ValueError(f"the vectors were made of {built} documents, not {held}; build them again")
+    return spark.read.parquet(f"{path}/vectors")
+
+
+def build_job(articles: DataFrame, chunks: DataFrame, vectors: DataFrame | None, path: str, *, bigrams: bool = False) -> DataFrame:
+    """Chunks (id, article_id, text), their BM25 index and vectors stored under ``path``, and one row on what was built.
+
+    (n_articles, n_chunks, n_terms, n_postings, avg_len, bigrams, has_vectors, seconds)
+    """
+    spark, began = articles.sparkSession, time.time()
+    chunks.select("id", "article_id", "text").write.mode("overwrite").parquet(f"{path}/chunks")
+    stored = spark.read.parquet(f"{path}/chunks")
+    save_index(build(tokenized(stored.withColumnRenamed("id", "doc"), "doc", "text", bigrams)), f"{path}/bm25")
+    if vectors is not None:
+        save_vectors(vectors, f"{path}/dense")
+    postings, stats = spark.read.parquet(f"{path}/bm25/postings"), spark.read.parquet(f"{path}/bm25/stats")
+    counts = postings.groupBy("term").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_terms"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_postings"))
+    # Single rows beside each other.
+    meta = articles.agg(F.count("*").alias("n_articles")).crossJoin(stats.select(F.col("n_docs").alias("n_chunks"), "avg_len")).crossJoin(counts)
+    meta = meta.select(
+        "n_articles", "n_chunks", "n_terms", "n_postings", "avg_len", F.lit(bigrams).alias("bigrams"), F.lit(vectors is not None).alias("has_vectors"),
+        F.lit(round(time.time() - began, 1)).alias("seconds"),
+    )
+    meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    return spark.read.parquet(f"{path}/meta")
+
+
 def load_index(spark: SparkSession, path: str, docs: DataFrame) -> DataFrame:
     """The postings (term, doc, tf, weight) of a saved index; raises if it was built over another number of documents.
 
@@ -43,6 +82,11 @@ def with_cache(work: DataFrame, cache: DataFrame, keys: list[str], value: str) -
     return work.join(known, keys), work.join(known, keys, "left_anti")
 
 
+def largest(rows: DataFrame, name: str) -> DataFrame:
+    """One row (name, n): of several datasets under one name column the one of most rows, the first by name on ties."""
+    return rows.groupBy(name).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name).limit(1)
+
+
 def merged_summary(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of both by ``key``: a new value takes the place of an old one unless it is null; old columns survive."""
     both = old.alias("old").join(new.alias("new"), F.col(f"old.{key}") == F.col(f"new.{key}"), "full")

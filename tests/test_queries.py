@@ -1,11 +1,11 @@
 import pytest
 from oracle import assert_same
 
-from tessera.plans import answer_queries, pipeline_queries, retrieval_queries
+from tessera.plans import answer_queries, pipeline_queries, retrieval_queries, store_queries
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = retrieval_queries.R.queries | answer_queries.R.queries | pipeline_queries.R.queries
-SQL = retrieval_queries.R.sql | answer_queries.R.sql | pipeline_queries.R.sql
+QUERIES = retrieval_queries.R.queries | answer_queries.R.queries | pipeline_queries.R.queries | store_queries.R.queries
+SQL = retrieval_queries.R.sql | answer_queries.R.sql | pipeline_queries.R.sql | store_queries.R.sql
 
 
 def test_names():
