@@ -100,7 +100,7 @@ best AS (
 
 
 @R.add(
-    _POOLED + f" SELECT query, p.doc, rank, chunk, coalesce({citation_sql('a.article_id', 'a.title')}, p.doc) AS citation FROM pooled p LEFT JOIN articles a ON a.article_id = p.doc WHERE rank <= 10"
+    _POOLED + f" SELECT query, p.doc, rank, chunk, CASE WHEN a.article_id IS NULL THEN p.doc ELSE {citation_sql('a.article_id', 'a.title')} END AS citation FROM pooled p LEFT JOIN articles a ON a.article_id = p.doc WHERE rank <= 10"
 )
 def hits_with_citation(spark: SparkSession, folder: str) -> DataFrame:
     """Pooled hits as a search shows them: with the article's citation, or the id itself where the article is not known."""
