@@ -15,7 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,16 +60,29 @@ def _vectors(sets: DataFrame, weighting: str) -> DataFrame:
     )
 
 
-def _bit_map(terms: Column) -> list[Column]:
-    """A 256-bit map of a set: word k has the bits of the terms that hash into it."""
-    bits = F.transform(terms, lambda t: F.pmod(F.xxhash64(t["term"]), F.lit(64 * MAP_WORDS)).cast("int"))
-    return [
-        F.aggregate(
-            F.filter(bits, lambda b: F.floor(b / 64) == k), F.lit(0).cast("bigint"),
-            lambda s, b: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(b, F.lit(64)).cast("int"))),
-        ).alias(f"m{k}")
-        for k in range(MAP_WORDS)
-    ]
+class _Bits(dict):
+    """The bit of each word in a 256-bit map, kept while a task runs."""
+
+    def __missing__(self, word: str) -> int:
+        bit = self[word] = xxhash.xxh32_intdigest(word) % (64 * MAP_WORDS)
+        return bit
+
+
+def _bit_maps(sets: DataFrame) -> DataFrame:
+    """(set_id, side, m0 ...): a 256-bit map of each set: its words' bits, in 64-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = _Bits()
+        for batch in batches:
+            if len(bits) > 500_000:
+                bits.clear()
+            maps = np.zeros((len(batch), 64 * MAP_WORDS), np.uint8)
+            for row, words in zip(maps, batch.column(2).to_pylist()):
+                row[[*map(bits.__getitem__, words)]] = 1
+            packed = np.packbits(maps, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(m) for m in packed.T)], ["set_id", "side", *MAPS])
+
+    return sets.select("set_id", "side", "words").mapInArrow(run, "set_id string, side string, " + ", ".join(f"{m} bigint" for m in MAPS))
 
 
 def _postings(vectors: DataFrame, most: DataFrame, threshold: float) -> DataFrame:
@@ -97,8 +111,7 @@ def cosine_join(sets: DataFrame, threshold: float, weighting: str = "set") -> Da
     drop pairs that cannot reach the threshold. No cap on lists; long lists are split by AQE's skew join.
     """
     # The maps are made before the vectors are taken apart, once a set.
-    vectors = _vectors(sets, weighting)
-    vectors = cut(vectors.select("*", *_bit_map(F.col("terms"))))
+    vectors = cut(_vectors(sets, weighting).join(_bit_maps(sets), ["set_id", "side"]))
     left, right = vectors.where("side = 'l'"), vectors.where("side = 'r'")
     most = vectors.select("side", F.inline("terms")).groupBy("side", "term").agg(F.max("w").alias("most"))
     l, r = (
@@ -139,7 +152,8 @@ def split_overlaps(
     judged = qrels.select(F.col(split).alias("split"), F.col(f"`{reference}`").cast("string").alias("key")).where(
         F.col("split").isin(train, *evaluation) & F.col("key").isNotNull()
     ).distinct()
-    sets = word_sets(queries, key, text).withColumn("set_id", F.concat_ws("-", F.xxhash64("words"), F.hash("words"), F.size("words"))).distinct()
+    known = queries.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).join(judged.select("key").distinct(), "key", "left_semi")
+    sets = word_sets(known, "key", "text").withColumn("set_id", F.concat_ws("-", F.xxhash64("words"), F.hash("words"), F.size("words"))).distinct()
     placed = cut(sets.join(judged, "key"))
     sides = placed.select("set_id", "words", F.explode(F.array(F.when(F.col("split") == train, "l").otherwise("r"))).alias("side"))
     unique = cut(sides.groupBy("set_id", "side").agg(F.first("words").alias("words")))

@@ -38,7 +38,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _articles(spark: SparkSession, folder: str) -> NearDuplicates:
-    corpus = table(spark, folder, "corpus").where(F.trim("text") != "")
+    corpus = table(spark, folder, "corpus").where(F.col("text").rlike(r"(?U)\S"))
     return near_duplicates(corpus, "_id", F.concat_ws(" ", F.coalesce("title", F.lit("")), "text"), width=3, threshold=0.7)
 
 
