@@ -379,30 +379,29 @@ def decline_grams(text: str) -> set[str]:
     return {" ".join(words[i : i + k]) for k in (1, 2, 3) for i in range(len(words) - k + 1)} - {"<s>", "</s>"}
 
 
-USUAL = 50.0
+USUAL = 20.0
 EFFECT = 3.0
+#: Log odds for and against a refusal of a match with the list of known ways: as if it held four in five refusals and one in 250 answers.
+KNOWN, UNKNOWN = math.log(0.8 / 0.004), math.log(0.2 / 0.996)
 
 
 class Declining:
     """Naive Bayes of refusals: n-grams of what is said without gold against those of what is said with gold.
 
     Without gold a refusal is the right answer and with gold it is rare, so that what tells the two apart is the wording of
-    refusals. Matching a well-known way of declining is one feature more, with some weight of its own where few
-    answers have been read.
+    refusals. Matching a well-known way of declining is one feature more, of a fixed weight.
     """
 
     def __init__(self, counts: dict[str, tuple[int, int]], matches: tuple[int, int], sizes: tuple[int, int]):
         """(without gold, with gold): answers that hold each n-gram, that match a known way, and in all."""
         none, some = sizes
-        self.prior = math.log((none + 1) / (some + 6))
-        rate = lambda hits, of, usual, weight: (hits + usual * weight) / (of + weight)
+        likely = max(none, sum(matches))
+        self.prior = math.log((likely + 1) / (none + some - likely + 6))
         share = (none + 1) / (none + some + 7)
         self.logs = {}
         for gram, (a, b) in counts.items():
             # What few answers hold says little: as if USUAL more held it, with and without gold as all answers are.
             self.logs[gram] = math.log((a + USUAL * share) / (none + 1)) - math.log((b + USUAL * (1 - share)) / (some + 6))
-        p, q = rate(matches[0], none, 0.8, 50), rate(matches[1], some, 0.03, 50)
-        self.known, self.unknown = math.log(p / q), math.log((1 - p) / (1 - q))
 
     def score(self, text: str) -> float:
         """Log odds that a text without reasoning and citations declines.
@@ -411,7 +410,7 @@ class Declining:
         """
         grams = decline_grams(text)
         mean = sum(self.logs.get(g, 0.0) for g in grams) / max(1, len(grams))
-        return self.prior + (self.known if declines(text) else self.unknown) + EFFECT * mean
+        return self.prior + (KNOWN if declines(text) else UNKNOWN) + EFFECT * mean
 
 
 def train_declining(answers: DataFrame, *, per_class: int = 4000, least: int = 3) -> Declining:

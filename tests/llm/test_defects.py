@@ -148,3 +148,9 @@ def test_refusals_off_the_list_are_learnt(spark, monkeypatch):
     assert all(model.score(w) > 0 for w in ways) and model.score("Mức thu là 5 đồng mỗi lô hàng.") < 0
     monkeypatch.setattr(module, "declines", lambda text: False)
     assert all(model.score(w) > 0 for w in ways)
+
+
+def test_known_refusals_without_answers_without_gold(spark):
+    rows = [("s", i, Q, f"Mức thu là {i} đồng mỗi lô hàng. Chủ tàu cá phải gia hạn hợp đồng.", True) for i in range(300)]
+    rows += [("s", 900 + i, Q, "Xin lỗi, tôi không thể trả lời câu hỏi này.", True) for i in range(12)]
+    assert {(r.line_no, r.defect) for r in defects(_judged(spark, rows), _languages(spark)).collect()} == {(900 + i, "refusal") for i in range(12)}
