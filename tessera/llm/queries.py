@@ -15,7 +15,7 @@ from tessera.llm.packing import fill_report, pack
 from tessera.llm.reading import reading_levels, train
 from tessera.llm.splitting import split_oversized
 from tessera.llm.tokens import encode
-from tessera.sources.tables import table
+from tessera.sources.tables import spread_table, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,7 +38,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _articles(spark: SparkSession, folder: str) -> NearDuplicates:
-    corpus = table(spark, folder, "corpus").where(F.col("text").rlike(r"(?U)\S"))
+    corpus = spread_table(spark, folder, "corpus").where(F.col("text").rlike(r"(?U)\S"))
     return near_duplicates(corpus, "_id", F.concat_ws(" ", F.coalesce("title", F.lit("")), "text"), width=3, threshold=0.7)
 
 
@@ -85,8 +85,8 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Answers that are no usable reply, with their defect."""
-    answers = answer_rows(table(spark, folder, "generations"), table(spark, folder, "sft_raw"))
-    return defects(answers, train_languages(table(spark, folder, "documents")))
+    answers = answer_rows(spread_table(spark, folder, "generations"), spread_table(spark, folder, "sft_raw"))
+    return defects(answers, train_languages(spread_table(spark, folder, "documents")))
 
 
 # 5. Visually identical text with different characters
@@ -132,7 +132,7 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """byte_bpe_50k ids of every document."""
-    return encode(table(spark, folder, "documents"), "doc_id")
+    return encode(spread_table(spark, folder, "documents"), "doc_id")
 
 
 # 8. Filling fixed-capacity containers with items
@@ -141,20 +141,20 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
     """The container of every document, or of every part of one that exceeds a container."""
-    return pack(table(spark, folder, "documents"), "doc_id")
+    return pack(spread_table(spark, folder, "documents"), "doc_id")
 
 
 @query()
 def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     """How full the containers are."""
-    return fill_report(pack(table(spark, folder, "documents"), "doc_id"))
+    return fill_report(pack(spread_table(spark, folder, "documents"), "doc_id"))
 
 
 # 9. Reading level of each document
 
 
 def _levels(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
+    documents = spread_table(spark, folder, "documents")
     return reading_levels(documents, train(documents, table(spark, folder, "reading_labels")))
 
 
