@@ -17,9 +17,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.lineage import cut
+from tessera.functions.lineage import cut, merged, release
 from tessera.llm.canonical import canonical_text
 from tessera.llm.components import connected_components
 
@@ -140,6 +141,20 @@ def shared(a: str, b: str) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
+def crowded(cells: DataFrame) -> DataFrame:
+    """(bucket, head, rep) of the cells (bucket, rep) whose bucket holds others too; head is its smallest member.
+
+    Cells are shuffled once, and most of them are alone in their bucket. A bucket's key is of one band: the bands' keys
+    are multiplied by numbers of their own. Buckets of the same members (by number, smallest and two sums of hashes)
+    count once, under the smallest of their keys.
+    """
+    inside = W.partitionBy("bucket")
+    held = cells.select("bucket", "rep", F.count("*").over(inside).alias("n")).where("n > 1")
+    sums = (F.sum(F.xxhash64("rep", F.lit(i)).bitwiseAND(2**40 - 1)).over(inside).alias(f"sum{i}") for i in range(2))
+    known = held.select("bucket", "rep", "n", F.min("rep").over(inside).alias("head"), *sums)
+    return known.groupBy("n", "head", "sum0", "sum1", "rep").agg(F.min("bucket").alias("bucket")).select("bucket", "head", "rep")
+
+
 class NearDuplicates:
     """The result of :func:`near_duplicates`.
 
@@ -150,21 +165,18 @@ class NearDuplicates:
 
     def __init__(self, named: DataFrame, sets: DataFrame, members: DataFrame, detail: Callable[[DataFrame], DataFrame], threshold: float, slack: float):
         self.members, self._threshold, self._slack = members, threshold, slack
-        own = named.join(sets.select(F.col("rep").alias("row")), "row", "left_semi").withColumnRenamed("row", "rep")
-        cells = own.select("rep", F.explode("buckets").alias("bucket"))
-        # A bucket's key is of one band: the bands' keys are multiplied by numbers of their own. Buckets of the same
-        # members (by number, smallest and two sums of hashes) count once.
-        sums = (F.sum(F.xxhash64("rep", F.lit(i)).bitwiseAND(2**40 - 1)).alias(f"sum{i}") for i in range(2))
-        seen = cells.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("head"), *sums).where("n > 1")
-        once = seen.groupBy("n", "head", "sum0", "sum1").agg(F.min("bucket").alias("bucket")).select("bucket", "head")
-        self._crowded = cut(cells.join(once, "bucket").select("bucket", "head", "rep"))
+        own = merged(named.select(F.col("row").alias("rep"), "buckets"), sets.select("rep"), "rep", "left_semi")
+        self._crowded = cut(crowded(own.select("rep", F.explode("buckets").alias("bucket"))))
+        release(named.sparkSession)
         # Only texts that share a bucket are looked at again.
-        self._signs = cut(own.select("rep", "signature").join(self._crowded.select("rep").distinct(), "rep", "left_semi"))
+        self._signs = cut(merged(named.select(F.col("row").alias("rep"), "signature"), self._crowded.select("rep").distinct(), "rep", "left_semi"))
         alike = cut(self._alike_in_buckets())
+        release(named.sparkSession)
         self._shingles = cut(detail(alike.select(F.explode(F.array("a", "b")).alias("rep")).distinct()))
         self._links = cut(self._verified(alike))
+        release(named.sparkSession)
         same_key = members.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last")
-        edges = self._links.select("a", "b").union(members.join(same_key.select("key", "a"), "key").select("a", F.col("rep").alias("b")))
+        edges = self._links.select("a", "b").union(merged(members, same_key.select("key", "a"), "key").select("a", F.col("rep").alias("b")))
         self._components = cut(connected_components(edges))
 
     def _alike_in_buckets(self) -> DataFrame:
@@ -175,33 +187,33 @@ class NearDuplicates:
         first = cut(self._alike(crowded.select(*pair("head", "rep")).distinct()))
         found = first.where(sure).select(F.col("a").alias("head"), F.col("b").alias("rep"))
         # Texts that are not surely like the head of their bucket.
-        stray = cut(crowded.join(found, ["head", "rep"], "left_anti").select("bucket", "rep"))
+        stray = cut(merged(crowded, found, ["head", "rep"], "left_anti").select("bucket", "rep"))
         second = stray.groupBy("bucket").agg(F.min("rep").alias("second"))
-        others = crowded.join(second, "bucket").where("rep <> second").select("bucket", "second", "rep")
+        others = merged(crowded, second, "bucket").where("rep <> second").select("bucket", "second", "rep")
         again = cut(self._alike(others.select(*pair("second", "rep")).distinct()))
         close = again.where(sure).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
         close = close.select(F.col("p.a").alias("second"), F.col("p.b").alias("rep"), F.lit(True).alias("near"))
-        placed = others.join(close, ["second", "rep"], "left").select("bucket", "rep", F.coalesce("near", F.lit(False)).alias("near"))
+        placed = merged(others, close, ["second", "rep"], "left").select("bucket", "rep", F.coalesce("near", F.lit(False)).alias("near"))
         # Two that are both near the second head are connected through it.
-        left = placed.join(stray, ["bucket", "rep"], "left_semi").toDF("bucket", "x", "near_x")
-        rest = left.join(placed.toDF("bucket", "y", "near_y"), "bucket").where("x <> y and not (near_x and near_y)").select(*pair("x", "y")).distinct()
+        left = merged(placed, stray, ["bucket", "rep"], "left_semi").toDF("bucket", "x", "near_x")
+        rest = merged(left, placed.toDF("bucket", "y", "near_y"), "bucket").where("x <> y and not (near_x and near_y)").select(*pair("x", "y")).distinct()
         return first.union(again).union(self._alike(rest)).select("a", "b").distinct()
 
     def _alike(self, pairs: DataFrame) -> DataFrame:
         """(a, b, agreement) of the pairs (a, b) that may reach the threshold by their signatures."""
-        met = pairs.join(self._signs.toDF("a", "sign_a"), "a").join(self._signs.toDF("b", "sign_b"), "b")
+        met = merged(merged(pairs, self._signs.toDF("a", "sign_a"), "a"), self._signs.toDF("b", "sign_b"), "b")
         return met.select("a", "b", _agreement("sign_a", "sign_b").alias("agreement")).where(F.col("agreement") >= self._threshold - self._slack)
 
     def _verified(self, alike: DataFrame) -> DataFrame:
         """(a, b, similarity) of the pairs that reach the threshold by their shingles."""
-        met = alike.join(self._shingles.toDF("a", "set_a"), "a").join(self._shingles.toDF("b", "set_b"), "b")
+        met = merged(merged(alike, self._shingles.toDF("a", "set_a"), "a"), self._shingles.toDF("b", "set_b"), "b")
         return met.select("a", "b", shared("set_a", "set_b").alias("similarity")).where(F.col("similarity") >= self._threshold)
 
     @property
     def classes(self) -> DataFrame:
-        rows = self.members.join(self._components.toDF("rep", "class"), "rep", "left").select("key", F.coalesce("class", "rep").alias("class"))
+        rows = merged(self.members, self._components.toDF("rep", "class"), "rep", "left").select("key", F.coalesce("class", "rep").alias("class"))
         named = rows.groupBy("class").agg(F.min("key").alias("class_id"))
-        return rows.distinct().join(named, "class").select("key", "class_id")
+        return merged(rows.distinct(), named, "class").select("key", "class_id")
 
     @property
     def pairs(self) -> DataFrame:
@@ -210,13 +222,13 @@ class NearDuplicates:
         Candidates are numbers of sets only; signatures are fetched for those that no link has settled, shingles for
         those that pass by signature.
         """
-        classed = self._crowded.join(self._components.toDF("rep", "class"), "rep").select("bucket", "class", "rep")
-        met = classed.toDF("bucket", "class", "a").join(classed.toDF("bucket", "class", "b"), ["bucket", "class"]).where("a < b").select("a", "b").distinct()
-        more = self._alike(met.join(self._links.select("a", "b"), ["a", "b"], "left_anti"))
+        classed = merged(self._crowded, self._components.toDF("rep", "class"), "rep").select("bucket", "class", "rep")
+        met = merged(classed.toDF("bucket", "class", "a"), classed.toDF("bucket", "class", "b"), ["bucket", "class"]).where("a < b").select("a", "b").distinct()
+        more = self._alike(merged(met, self._links.select("a", "b"), ["a", "b"], "left_anti"))
         near = self._links.union(self._verified(more.select("a", "b")))
         m = self.members
-        between = near.join(m.toDF("x", "a"), "a").join(m.toDF("y", "b"), "b").select("x", "y", "similarity")
-        within = m.toDF("x", "rep").join(m.toDF("y", "rep"), "rep").where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+        between = merged(merged(near, m.toDF("x", "a"), "a"), m.toDF("y", "b"), "b").select("x", "y", "similarity")
+        within = merged(m.toDF("x", "rep"), m.toDF("y", "rep"), "rep").where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
         named = between.where("x <> y").union(within).groupBy(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
         return named.agg(F.max("similarity").alias("similarity"))
 
@@ -242,13 +254,13 @@ def near_duplicates(
     named = cut(sketch(df, key, text, width, bands, rows, seed).withColumn("row", F.monotonically_increasing_id()))
     first = named.groupBy("set_id").agg(F.min(F.struct("row", "key")).alias("first"))
     sets = cut(first.select("set_id", F.col("first.row").alias("rep"), F.col("first.key").alias("of")))
-    members = cut(named.select("key", "set_id").distinct().join(sets.select("set_id", "rep"), "set_id").select("key", "rep"))
+    members = cut(merged(named.select("key", "set_id").distinct(), sets.select("set_id", "rep"), "set_id").select("key", "rep"))
 
     def detail(wanted: DataFrame) -> DataFrame:
         """(rep, shingles) of the wanted sets, from one row of each."""
-        asked = sets.join(wanted, "rep")
-        own = df.select(F.col(key).cast("string").alias("key"), text.alias("text")).join(asked.select(F.col("of").alias("key")).distinct(), "key", "left_semi")
+        asked = merged(sets, wanted, "rep")
+        own = merged(df.select(F.col(key).cast("string").alias("key"), text.alias("text")), asked.select(F.col("of").alias("key")).distinct(), "key", "left_semi")
         made = _sketched(own, "key", F.col("text"), "key string, set_id binary, shingles array<bigint>", width, lambda s: [s.view(np.int64)])
-        return made.join(asked.select("rep", F.col("of").alias("key"), "set_id"), ["key", "set_id"]).dropDuplicates(["rep"]).select("rep", "shingles")
+        return merged(made, asked.select("rep", F.col("of").alias("key"), "set_id"), ["key", "set_id"]).dropDuplicates(["rep"]).select("rep", "shingles")
 
     return NearDuplicates(named, sets, members, detail, threshold, slack=4 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.near_duplicates import near_duplicates, shingle_hashes
+from tessera.llm.near_duplicates import crowded, near_duplicates, shingle_hashes
 
 
 def similar(a, b, width):
@@ -92,3 +92,21 @@ def test_key_with_two_texts(spark):
     found = near_duplicates(spark.createDataFrame(rows, "_id string, text string"), "_id", F.col("text"))
     assert {r.key: r.class_id for r in found.classes.collect()} == {"k": "a", "a": "a", "z": "a", "o": "o"}
     assert {(r.id_a, r.id_b) for r in found.pairs.collect()} == {("a", "k"), ("k", "z")}
+
+
+def test_no_join_is_broadcast(spark):
+    """Tables that grow with the rows don't pass through the driver, whatever the threshold, and cells are shuffled once."""
+    found = near_duplicates(frame(spark, corpus(n=20)), "_id", F.col("text"), width=3, threshold=0.7)
+    for rows in (found.pairs, found.classes, connected_components(spark.createDataFrame([(1, 2), (2, 3)], "x int, y int"))):
+        assert rows.count() and rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan or "Scan ExistingRDD" in plan
+        assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+
+
+def test_buckets_of_the_same_members_count_once(spark):
+    cells = [(1, 10), (1, 11), (2, 11), (2, 10), (3, 10), (3, 11), (3, 12), (4, 12), (5, 13), (5, 12)]
+    df = spark.createDataFrame(cells, "bucket bigint, rep bigint")
+    got = crowded(df)
+    assert sorted(map(tuple, got.collect())) == [(1, 10, 10), (1, 10, 11), (3, 10, 10), (3, 10, 11), (3, 10, 12), (5, 12, 12), (5, 12, 13)]
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning(bucket") == 1
